@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procgraph.llm import bpe, langid, licenses, quality
+from procgraph.llm import ann, bpe, langid, licenses, packing, quality, secrets, simhash
 from procgraph.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
@@ -22,11 +30,31 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op6_quality_rules, op7_byte_bpe, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op4_best_fit_packing,
+        op5_nearest_neighbours,
+        op6_quality_rules,
+        op7_byte_bpe,
+        op8_simhash_near_dedup,
+        op9_secret_scan,
+        op10_language_id,
+    )
+}
 
 _KNOWN = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(licenses.KNOWN.items()))
 
@@ -37,4 +65,5 @@ d AS (SELECT doc_id, {licenses.digest_sql("text", "duckdb")} AS digest FROM docu
 SELECT doc_id, digest, license_id FROM d LEFT JOIN known USING (digest)
 """,
     "op6_quality_rules": quality.ORACLE,
+    "op9_secret_scan": secrets.ORACLE,
 }
