@@ -52,9 +52,13 @@ def repaired(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def repair(x: pd.Series) -> pd.Series:
-    return x.map(repaired)
+def repair(x: Column) -> Column:
+    """repaired() over a column, in Arrow batches."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(repaired)
+
+    return F.pandas_udf(run, "string")(x)
 
 
 def first_field(x: Column, *keys: str) -> Column:
