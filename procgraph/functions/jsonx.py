@@ -8,12 +8,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from procgraph.functions.text import strip
+
 
 def json_part(x: Column) -> Column:
     """What stands in a fenced block, else from the first brace to the last; the text itself if there is neither."""
     fenced = F.regexp_extract(x, r"(?s)```(?:json)?\s*(.*?)```", 1)
     braces = F.regexp_extract(x, r"(?s)(\{.*\})", 1)
-    return F.trim(F.when(fenced != "", fenced).when(braces != "", braces).otherwise(x))
+    return strip(F.when(fenced != "", fenced).when(braces != "", braces).otherwise(x))
 
 
 def repaired(text: str | None) -> str | None:
