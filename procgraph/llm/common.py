@@ -59,7 +59,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def crc_mod(doc_id: str | Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; null ids count as empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % m
+    return F.crc32(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit("")).cast("binary")) % m
 
 
 def utf8(text: object) -> bytes:
