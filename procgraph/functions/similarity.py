@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that say nothing about a task (fixed values).
-STOP_WORDS = ("및", "의", "를", "을", "이", "가", "은", "는", "에", "에서", "으로", "로", "와", "과")
+STOP_WORDS = ("및", "의", "을", "를", "이", "가", "에", "로", "으로", "와", "과", "에서", "부터", "까지")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,19 +21,21 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def char_jaccard(a: Column, b: Column) -> Column:
-    """Jaccard index of the sets of characters, blanks left out; 0 if both are empty."""
-    chars = lambda x: F.array_distinct(F.filter(F.split(F.replace(x, F.lit(" "), F.lit("")), ""), lambda c: c != ""))
+    """Jaccard index of the sets of characters; 0 if one is empty."""
+    chars = lambda x: F.array_distinct(F.filter(F.split(x, ""), lambda c: c != ""))
     both, either = F.size(F.array_intersect(chars(a), chars(b))), F.size(F.array_union(chars(a), chars(b)))
     return F.when(either > 0, both / either).otherwise(F.lit(0.0))
 
 
-def words(x: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(x), r"(?U)\s+"), lambda w: ~w.isin("", *STOP_WORDS)))
+def core_words(x: Column) -> Column:
+    """What "및" joins in a name whose blanks are taken out, without stop words."""
+    y = F.replace(F.replace(x, F.lit(" "), F.lit("")), F.lit("및"), F.lit(" "))
+    return F.array_distinct(F.filter(F.split(y, r"(?U)\s+"), lambda w: ~w.isin("", *STOP_WORDS)))
 
 
 def core_words_agree(a: Column, b: Column) -> Column:
-    """Whether at least one word and half of the smaller word set is common, stop words left out."""
-    common, least = F.size(F.array_intersect(words(a), words(b))), F.least(F.size(words(a)), F.size(words(b)))
+    """Whether at least one core word, and half of the smaller set, is common."""
+    common, least = F.size(F.array_intersect(core_words(a), core_words(b))), F.least(F.size(core_words(a)), F.size(core_words(b)))
     return (common >= 1) & (common >= 0.5 * least)
 
 

@@ -62,15 +62,15 @@ def left_dots(x: str | Column, n: int) -> Column:
 
 #: Heading patterns in the order in which they are tried, with levels (fixed values).
 HEADINGS = (
-    (r"^#\s+(.+)$", 1),
-    (r"^##\s+(.+)$", 2),
-    (r"^###\s+(.+)$", 3),
-    (r"^(\d+)\.\s+([가-힣a-zA-Z].+)$", 1),
-    (r"^(\d+\.\d+)\s+(.+)$", 2),
-    (r"^(\d+\.\d+\.\d+)\s+(.+)$", 3),
-    (r"^제\s*(\d+)\s*장\s*(.*)$", 1),
-    (r"^제\s*(\d+)\s*조\s*(.*)$", 2),
+    (r"^#{1}\s+(.+)$", 1),
+    (r"^제\s*\d+\s*장\s*(.+)$", 1),
+    (r"^제\s*\d+\s*절\s*(.+)$", 2),
+    (r"^#{2}\s+(.+)$", 2),
+    (r"^\d+\.\s+([A-Z가-힣].+)$", 1),
+    (r"^\d+\.\d+\s+(.+)$", 2),
+    (r"^\d+\.\d+\.\d+\s+(.+)$", 3),
     (r"^[IVX]+\.\s+(.+)$", 1),
+    (r"^[A-Z]\.\s+(.+)$", 2),
 )
 
 
@@ -121,10 +121,11 @@ EVENT_TYPES = ("start", "end", "intermediate")
 
 def form_id(tool: str | Column, process: str | Column, activity: str | Column) -> Column:
     """Form of an activity: what its tool names, else one made of both ids; slashes become hash marks."""
-    own = F.regexp_replace(F.coalesce(col(tool), F.lit("")), "^formHandler:", "")
-    made = F.concat_ws("_", F.lower(col(process)), F.lower(col(activity)), F.lit("form"))
-    got = F.when(own == "", made).when(F.lower(own) == "defaultform", F.lower(col(activity))).otherwise(own)
-    return F.replace(got, F.lit("/"), F.lit("#"))
+    process, activity = col(process), col(activity)
+    said = strip(F.coalesce(col(tool), F.lit("")))
+    own = F.when(said.startswith("formHandler:"), strip(F.regexp_replace(said, "^formHandler:", ""))).otherwise(F.lit(""))
+    got = F.when(own == "", F.concat_ws("_", process, activity, F.lit("form"))).otherwise(own)
+    return F.when(got == "defaultform", F.concat_ws("_", process, F.lower(activity), F.lit("form"))).otherwise(F.replace(got, F.lit("/"), F.lit("#")))
 
 
 def any_keyword(x: str | Column, words: tuple[str, ...]) -> Column:
@@ -132,15 +133,32 @@ def any_keyword(x: str | Column, words: tuple[str, ...]) -> Column:
     return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: y.contains(w))
 
 
-def keyword_class(x: str | Column, automation: tuple[str, ...], human: tuple[str, ...]) -> Column:
+#: Words in activities that ask for a person, and words that hint at automation (fixed values).
+HUMAN_WORDS = (
+    "신청", "등록", "접수", "제출", "결재", "결제", "입금", "납부", "승인", "서명",
+    "대면", "회의", "면담", "전화", "방문", "출석", "참석", "수령", "발급", "실물", "현장",
+)
+AUTOMATION_WORDS = (
+    "자동", "에이전트", "봇", "생성", "요약", "정리", "분석", "검증", "추출", "조회", "검색",
+    "분류", "추천", "채점", "퀴즈", "문항", "리포트", "보고서", "취합", "집계",
+)
+
+
+def keyword_class(x: str | Column, automation: tuple[str, ...] = AUTOMATION_WORDS, human: tuple[str, ...] = HUMAN_WORDS) -> Column:
     """agent if a word hints at automation, else human if one asks for a person, else open."""
     return F.when(any_keyword(x, automation), "agent").when(any_keyword(x, human), "human").otherwise("open")
 
 
 def procedure_steps(x: str | Column, most: int = 10) -> Column:
-    """Steps of a description: numbered items, else bulleted ones, else sentences of over five characters (at most so many)."""
+    """Steps of a description: what follows numbers, else bullets, else sentences of over five characters (at most so many).
+
+    Failing that the first 200 characters; for no description at all one step that says that the task is done.
+    """
     y = F.coalesce(col(x), F.lit(""))
-    numbered = F.regexp_extract_all(y, F.lit(r"(?m)^\s*\d+[.)]\s*(.+)$"), F.lit(1))
-    bullets = F.regexp_extract_all(y, F.lit(r"(?m)^\s*[-*•]\s*(.+)$"), F.lit(1))
-    sentences = F.slice(F.filter(F.transform(F.split(y, r"[.!?\n]+"), strip), lambda s: F.length(s) > 5), 1, most)
-    return F.transform(F.when(F.size(numbered) > 0, numbered).when(F.size(bullets) > 0, bullets).when(F.size(sentences) > 0, sentences).otherwise(F.array(F.left(y, F.lit(100)))), strip)
+    full = lambda steps: F.filter(F.transform(steps, strip), lambda s: s != "")
+    numbered = F.regexp_extract_all(y, F.lit(r"\d+[.)\s]+(.+?)(?=\d+[.)\s]|$)"), F.lit(1))
+    bullets = F.regexp_extract_all(y, F.lit(r"[-•]\s*(.+?)(?=[-•]|$)"), F.lit(1))
+    sentences = full(F.filter(F.split(y, r"[.。]\s*"), lambda s: F.length(s) > 5))
+    whole = F.array(F.when(F.length(y) > 200, F.concat(F.left(y, F.lit(200)), F.lit("..."))).otherwise(y))
+    found = F.when(F.size(numbered) > 0, full(numbered)).when(F.size(bullets) > 0, full(bullets)).when(F.size(sentences) > 0, F.slice(sentences, 1, most)).otherwise(whole)
+    return F.when(y == "", F.array(F.lit("작업을 수행합니다."))).otherwise(found)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procgraph.functions.similarity import STOP_WORDS
-from procgraph.functions.text import name_key, or_else
+from procgraph.functions.text import name_key, or_else, strip
 from procgraph.operators.graph import first_by
 
 
@@ -44,33 +44,35 @@ def remap(rows: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
     return rows.join(m, F.col(column) == F.col("_old"), "left").withColumn(column, F.coalesce("_new", column)).drop("_old", "_new")
 
 
-def _alike(a: str, b: str) -> bool:
+def _alike(a: str, b: str, near: bool) -> bool:
+    """Whether two names mean the same task; near: they stand next to each other in the process."""
     a, b = a.lower().strip(), b.lower().strip()
     if a in b or b in a:
         return True
-    x, y = set(a.replace(" ", "")), set(b.replace(" ", ""))
-    if x | y and len(x & y) / len(x | y) > 0.6:
-        return True
-    p, q = (set(s.replace("및", " ").split()) - set(STOP_WORDS) for s in (a, b))
+    p, q = (set(s.replace(" ", "").replace("및", " ").split()) - set(STOP_WORDS) for s in (a, b))
     common = len(p & q)
-    return common >= 1 and common >= 0.5 * min(len(p), len(q))
+    if common and 2 * common >= min(len(p), len(q)):
+        return True
+    x, y = set(a), set(b)
+    return near and bool(x and y) and len(x & y) / len(x | y) > 0.6
 
 
 def merge_tasks(tasks: DataFrame) -> DataFrame:
     """old_id, task_id, name, description: tasks of a process and role that are alike become one.
 
-    In the order of seq each task that isn't taken yet gathers the later ones like it. The longest name (the first of such)
-    stands for the group; descriptions are joined, distinct and sorted. Groups are small: one process and role.
-    tasks: task_id, process_id, role_id, name, description, seq.
+    In order, each task that isn't taken yet gathers the later ones like it. The longest name (the first of such) stands for
+    the group; descriptions are joined, distinct and sorted. Groups are small: one process and role.
+    tasks: task_id, process_id, role_id, name, description, order, seq.
     """
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        rows = p.sort_values(["seq", "task_id"]).to_dict("records")
+        rows = p.sort_values(["order", "seq", "task_id"]).to_dict("records")
         taken, out = set(), []
         for i, r in enumerate(rows):
             if i in taken:
                 continue
-            group = [j for j in range(i, len(rows)) if j not in taken and (j == i or _alike(r["name"] or "", rows[j]["name"] or ""))]
+            near = lambda j, r=r: abs(r["order"] - rows[j]["order"]) <= 1
+            group = [j for j in range(i, len(rows)) if j not in taken and (j == i or _alike(r["name"] or "", rows[j]["name"] or "", near(j)))]
             taken.update(group)
             best = max((rows[j] for j in group), key=lambda x: len(x["name"] or ""))
             text = " | ".join(sorted({rows[j]["description"] for j in group if rows[j]["description"]}))
@@ -92,7 +94,7 @@ def flow_union(explicit: DataFrame, derived: DataFrame, ordered: DataFrame) -> D
 
 
 def merge_lines(base: Column, extra: Column) -> Column:
-    """The lines of base, then those of extra that base doesn't have, once each; empty lines of extra are left out."""
-    lines = lambda x: F.split(F.coalesce(x, F.lit("")), "\n")
-    more = F.filter(F.array_except(lines(extra), lines(base)), lambda s: F.trim(s) != "")
-    return F.array_join(F.concat(F.filter(lines(base), lambda s: F.trim(s) != ""), more), "\n")
+    """The stripped lines of base, then those of extra that base doesn't have, once each; base as it is if extra has none."""
+    lines = lambda x: F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), r"\r\n|\r|\n"), strip), lambda s: s != "")
+    merged = F.array_join(F.concat(lines(base), F.array_except(lines(extra), lines(base))), "\n")
+    return F.when(F.size(lines(extra)) == 0, F.coalesce(base, F.lit(""))).otherwise(merged)

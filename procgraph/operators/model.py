@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from procgraph.functions.text import coerce, or_else, snake_id
+from procgraph.functions.text import coerce, or_else, snake_id, strip
 
 
 def normal_ids(elements: DataFrame) -> DataFrame:
@@ -19,28 +19,25 @@ def normal_ids(elements: DataFrame) -> DataFrame:
     return elements.withColumn("_base", base).withColumn("new_id", F.when(k == 1, F.col("_base")).otherwise(F.concat_ws("_", F.col("_base"), k.cast("string")))).drop("_base")
 
 
-#: Element types by the words that models use for them (fixed values).
-ELEMENT_TYPES = {
-    "usertask": "UserActivity",
-    "humantask": "UserActivity",
-    "task": "UserActivity",
-    "useractivity": "UserActivity",
-    "servicetask": "ServiceActivity",
-    "scripttask": "ServiceActivity",
-    "serviceactivity": "ServiceActivity",
-    "emailactivity": "EmailActivity",
+#: Types of events and gateways by the words that models use for them (fixed values).
+EVENT_WORDS = {"startevent": "StartEvent", "start_event": "StartEvent", "start": "StartEvent", "endevent": "EndEvent", "end_event": "EndEvent", "end": "EndEvent"}
+GATEWAY_WORDS = {
     "exclusivegateway": "ExclusiveGateway",
+    "exclusive_gateway": "ExclusiveGateway",
     "parallelgateway": "ParallelGateway",
+    "parallel_gateway": "ParallelGateway",
     "inclusivegateway": "InclusiveGateway",
-    "startevent": "StartEvent",
-    "endevent": "EndEvent",
+    "inclusive_gateway": "InclusiveGateway",
 }
 
 
-def element_type(x: str | Column) -> Column:
-    table = F.create_map(*[F.lit(v) for kv in ELEMENT_TYPES.items() for v in kv])
-    key = F.lower(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")))
-    return F.coalesce(F.element_at(table, key), F.lit("UserActivity"))
+def element_type(kind: str | Column, said: str | Column) -> Column:
+    """Type of an element: activities are user activities; others by their words, else as they stand, else the default."""
+    kind, y = (F.col(kind) if isinstance(kind, str) else kind), strip(F.coalesce(F.col(said) if isinstance(said, str) else said, F.lit("")))
+    table = lambda d: F.element_at(F.create_map(*[F.lit(v) for kv in d.items() for v in kv]), F.lower(y))
+    other_event = F.when(y.rlike(r"^\p{Lu}"), y).otherwise(F.lit("IntermediateCatchEvent"))
+    event, gateway = F.coalesce(table(EVENT_WORDS), other_event), F.coalesce(table(GATEWAY_WORDS), F.nullif(y, F.lit("")), F.lit("ExclusiveGateway"))
+    return F.when(kind == "Activity", F.lit("UserActivity")).when(kind == "Event", event).when(kind == "Gateway", gateway).otherwise(y)
 
 
 def task_types(tasks: DataFrame) -> DataFrame:

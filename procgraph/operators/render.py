@@ -118,17 +118,37 @@ def skill_markdown(tasks: DataFrame) -> DataFrame:
     return agent.select("task_id", md.alias("markdown"))
 
 
+#: Tags of form fields (fixed values).
+FIELD_TAGS = (
+    "text-field",
+    "select-field",
+    "checkbox-field",
+    "radio-field",
+    "file-field",
+    "label-field",
+    "boolean-field",
+    "textarea-field",
+    "user-select-field",
+    "report-field",
+    "slide-field",
+    "bpmn-uengine-field",
+)
+
+
 def form_fields(forms: DataFrame) -> DataFrame:
-    """form_id, n, tag, key, text, type: custom field tags of form HTML. forms: form_id, html."""
-    tags = "text|select|checkbox|radio|file|label|boolean|textarea|user-select|date|number|report"
-    starts = F.regexp_extract_all("html", F.lit(rf"(?i)<((?:{tags})-field\b[^>]*)>"), F.lit(1))
-    attr = lambda name: F.regexp_extract("start", rf"""(?i)\s{name}\s*=\s*["']([^"']*)["']""", 1)
-    bracket = F.regexp_extract("start", r"""(?i)v-model\s*=\s*["'][^"'\[]*\[['"]?([^'"\]]+)""", 1)
+    """form_id, n, tag, key, text, type, disabled, readonly: field tags of form HTML, in order. forms: form_id, html.
+
+    The key is what the model binding has in brackets, else the name; the type is the tag's where none is stated.
+    """
+    starts = F.regexp_extract_all("html", F.lit(rf"""(?is)<((?:{"|".join(FIELD_TAGS)})(?:\s(?:[^>"']|"[^"]*"|'[^']*')*)?)>"""), F.lit(1))
+    quoted = lambda n: F.coalesce(F.nullif(F.regexp_extract("start", rf"""(?is)\s{n}\s*=\s*"([^"]*)\"""", 1), F.lit("")), F.regexp_extract("start", rf"""(?is)\s{n}\s*=\s*'([^']*)'""", 1))
+    flag = lambda n: F.when(F.col("start").rlike(rf"(?is)\s{n}(\s|=|/|$)"), quoted(n)).otherwise(F.lit("false"))
     tag = F.lower(F.regexp_extract("start", r"^([a-zA-Z-]+)", 1))
     each = forms.select("form_id", F.posexplode(starts).alias("n", "start"))
-    key = F.coalesce(F.nullif(bracket, F.lit("")), attr("name"))
-    kind = F.coalesce(F.nullif(attr("type"), F.lit("")), F.regexp_replace(tag, "-field$", ""))
-    return each.select("form_id", "n", tag.alias("tag"), key.alias("key"), attr("label").alias("text"), kind.alias("type"))
+    bracket = F.regexp_extract(quoted("v-model"), r"""\[['"](.+?)['"]\]""", 1)
+    key = F.coalesce(F.nullif(bracket, F.lit("")), quoted("name"))
+    kind = F.coalesce(F.nullif(quoted("type"), F.lit("")), F.replace(tag, F.lit("-field"), F.lit("")))
+    return each.select("form_id", "n", tag.alias("tag"), key.alias("key"), quoted("alias").alias("text"), kind.alias("type"), flag("disabled").alias("disabled"), flag("readonly").alias("readonly"))
 
 
 def save(artifacts: DataFrame, path: str, column: str, by: str) -> None:

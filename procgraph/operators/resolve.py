@@ -79,17 +79,18 @@ def pick_user(roles: DataFrame, users: DataFrame) -> DataFrame:
     inside = containing(fields, asked, "_value", "_asked").unionByName(containing(asked, fields, "_asked", "_value"), allowMissingColumns=True).withColumn("_t", F.lit(1))
     tier = F.col("_t") + F.when(F.col("is_agent"), 0).otherwise(2)
     every = exact.select(*cols).unionByName(inside.select(*cols))
-    # users that aren't agents are looked at in the same pass as agents are again, so exact beats contained among all
-    best = every.groupBy("role").agg(F.min_by(F.struct("user_id", tier.alias("tier")), F.struct(tier, "_f", "_seq")).alias("b"))
+    best = every.groupBy("role").agg(F.min_by(F.struct("user_id", tier.alias("tier")), F.struct(tier, "_seq", "_f")).alias("b"))
     return best.select("role", F.col("b.user_id").alias("user_id"), F.col("b.tier").alias("tier"))
 
 
 def candidates(roles: DataFrame, users: DataFrame, most: int = 30, fallback: int = 20) -> DataFrame:
-    """role, user_id, score of up to 30 users: 1.0 the same, 0.8 contained, 0.5 head or tail of the role; else 20 agents.
+    """role, user_id, score of up to 30 agents: 1.0 the same, 0.8 contained, 0.5 head or tail of the role; else the first 20.
 
-    users: user_id, username, role, alias, is_agent, seq.
+    users: user_id, username, role, alias, is_agent, seq, and optionally description, goal, persona.
     """
-    fields = users.select("user_id", F.explode(F.array("username", "role", "alias")).alias("_v")).select("user_id", text_key("_v").alias("_value")).where("_value <> ''").distinct()
+    users = users.where("is_agent")
+    texts = [c for c in ("username", "role", "alias", "description", "goal", "persona") if c in users.columns]
+    fields = users.select("user_id", F.explode(F.array(*texts)).alias("_v")).select("user_id", text_key("_v").alias("_value")).where("_value <> ''").distinct()
     asked = roles.select("role", text_key("role").alias("_asked")).where("_asked <> ''")
     a, v = F.col("_asked"), F.col("_value")
     score = F.when(a == v, 1.0).when(a.contains(v) | v.contains(a), 0.8).when((F.length(a) >= 3) & (v.contains(F.left(a, F.lit(3))) | v.contains(F.right(a, F.lit(3)))), 0.5).otherwise(0.0)

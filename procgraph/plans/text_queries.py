@@ -15,8 +15,7 @@ from procgraph.sources.tables import conversations, order_lines, table, user_eve
 from procgraph.streaming import jobs
 
 PARTS = "pt AS (SELECT p_partkey AS seq, 'k' || p_partkey AS id, p_name AS name, p_brand AS brand, p_type AS type FROM part)"
-WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> ''))"
-CHARS = "list_distinct(list_filter(string_split(replace({0}, ' ', ''), ''), lambda c: c <> ''))"
+CHARS = "list_distinct(list_filter(string_split({0}, ''), lambda c: c <> ''))"
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +63,7 @@ def merge_list_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def merge_similar_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _parts(spark, sf_dir)
-    return merge.merge_tasks(p.select(F.col("id").alias("task_id"), F.col("brand").alias("process_id"), F.col("type").alias("role_id"), "name", F.col("type").alias("description"), "seq"))
+    return merge.merge_tasks(p.select(F.col("id").alias("task_id"), F.col("brand").alias("process_id"), F.col("type").alias("role_id"), "name", F.col("type").alias("description"), F.col("seq").cast("int").alias("order"), "seq"))
 
 
 @query(
@@ -79,25 +78,26 @@ def char_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH n AS (SELECT DISTINCT p_name AS name FROM part), c AS (SELECT name, {WORDS.format("name")} AS c FROM n)
+    """WITH n AS (SELECT DISTINCT p_name AS name FROM part), c AS (SELECT name, list_distinct(string_split(name, ' ')) AS c FROM n)
         SELECT a.name AS a, b.name AS b FROM c a JOIN c b ON a.name < b.name WHERE len(list_intersect(a.c, b.c)) >= 1 AND len(list_intersect(a.c, b.c)) >= 0.5 * least(len(a.c), len(b.c))"""
 )
 def core_word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
     pairs = n.alias("x").join(n.alias("y"), F.col("x.name") < F.col("y.name")).select(F.col("x.name").alias("a"), F.col("y.name").alias("b"))
-    return pairs.where(similarity.core_words_agree(F.col("a"), F.col("b")))
+    parted = lambda c: F.replace(F.col(c), F.lit(" "), F.lit("및"))
+    return pairs.where(similarity.core_words_agree(parted("a"), parted("b")))
 
 
 @query(
     """WITH p AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS a, max(CASE WHEN turn = 1 THEN text END) AS b FROM conversations GROUP BY 1),
-       l AS (SELECT conv_id, list_filter(string_split(coalesce(a, ''), chr(10)), lambda x: trim(x) <> '') AS a, string_split(coalesce(b, ''), chr(10)) AS b FROM p)
-       SELECT conv_id, len(a) + len(list_distinct(list_filter(b, lambda x: trim(x) <> '' AND NOT list_contains(a, x)))) AS n_lines FROM l"""
+       l AS (SELECT conv_id, list_filter(list_transform(string_split(coalesce(a, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS a, list_filter(list_transform(string_split(coalesce(b, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS b FROM p)
+       SELECT conv_id, len(a) + len(list_distinct(list_filter(b, lambda x: NOT list_contains(a, x)))) AS n_lines FROM l"""
 )
 def line_merge_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     turn = lambda k: F.max(F.when(F.col("turn") == k, F.col("text")))
     merged = c.groupBy("conv_id").agg(turn(0).alias("a"), turn(1).alias("b")).select("conv_id", merge.merge_lines(F.col("a"), F.col("b")).alias("t"))
-    return merged.select("conv_id", F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", "\n"))).cast("long").alias("n_lines"))
+    return merged.select("conv_id", F.size(F.filter(F.split("t", "\n"), lambda x: F.trim(x) != "")).cast("long").alias("n_lines"))
 
 
 @query("SELECT doc_id, item_id FROM (SELECT doc_id, item_id FROM documents JOIN benchmark ON length(benchmark.text) > 2 AND contains(lower(documents.text), lower(benchmark.text)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY item_id) = 1)")
@@ -147,8 +147,8 @@ def unassigned_questions_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, trim(line, ' ' || chr(9) || chr(13)) AS line FROM l)
-       SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE regexp_matches(line, '^#\\s+(.+)$') OR regexp_matches(line, '^##\\s+(.+)$') OR regexp_matches(line, '^###\\s+(.+)$') OR regexp_matches(line, '^(\\d+)\\.\\s+([가-힣a-zA-Z].+)$')
-         OR regexp_matches(line, '^(\\d+\\.\\d+)\\s+(.+)$') OR regexp_matches(line, '^(\\d+\\.\\d+\\.\\d+)\\s+(.+)$') OR regexp_matches(line, '^제\\s*(\\d+)\\s*[장조]\\s*(.*)$') OR regexp_matches(line, '^[IVX]+\\.\\s+(.+)$')) AS n_headings FROM s GROUP BY doc_id"""
+       SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE regexp_matches(line, '^#{1}\\s+(.+)$') OR regexp_matches(line, '^제\\s*\\d+\\s*[장절]\\s*(.+)$') OR regexp_matches(line, '^#{2}\\s+(.+)$') OR regexp_matches(line, '^\\d+\\.\\s+([A-Z가-힣].+)$')
+         OR regexp_matches(line, '^\\d+\\.\\d+\\s+(.+)$') OR regexp_matches(line, '^\\d+\\.\\d+\\.\\d+\\s+(.+)$') OR regexp_matches(line, '^[A-Z]\\.\\s+(.+)$') OR regexp_matches(line, '^[IVX]+\\.\\s+(.+)$')) AS n_headings FROM s GROUP BY doc_id"""
 )
 def doc_line_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.lines(_pages(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count("level").alias("n_headings"))
@@ -168,8 +168,8 @@ def section_page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as pages, user turns as pages with a heading."""
     c = conversations(spark, sf_dir)
     pages = c.select(F.col("process_id").alias("doc_id"), F.col("order").alias("page"), F.when(F.col("role") == "user", F.lit("# user")).otherwise("text").alias("text"))
-    got = sections.sections(pages.withColumn("text", F.regexp_replace("text", r"(?m)^\s*(#|\d|제|[IVX]+\.)", "-$1")).withColumn("text", F.when(F.col("text") == "-# user", "# user").otherwise(F.col("text"))))
-    return got.where("heading IS NOT NULL").select("doc_id", "page_from", "page_to")
+    got = sections.sections(pages.withColumn("text", F.regexp_replace("text", r"(?m)^\s*(#|\d|제|[A-Z]+\.)", "-$1")).withColumn("text", F.when(F.col("text") == "-# user", "# user").otherwise(F.col("text"))))
+    return got.where("section_no > 0").select("doc_id", "page_from", "page_to")
 
 
 @query(
@@ -272,7 +272,7 @@ FIELDS = f"fl AS (SELECT user_id, is_agent, seq, f, {KEY.format('v')} AS v FROM
 @query(
     f"""WITH {USERS}, {ASKED}, {FIELDS}, q AS (SELECT role, {KEY.format("role")} AS k FROM ask),
         h AS (SELECT role, user_id, f, seq, CASE WHEN k = v THEN 0 ELSE 1 END + CASE WHEN is_agent THEN 0 ELSE 2 END AS tier FROM q JOIN fl ON contains(k, v) OR contains(v, k))
-        SELECT role, user_id, tier FROM h QUALIFY row_number() OVER (PARTITION BY role ORDER BY tier, f, seq) = 1"""
+        SELECT role, user_id, tier FROM h QUALIFY row_number() OVER (PARTITION BY role ORDER BY tier, seq, f) = 1"""
 )
 def pick_user_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.pick_user(_asked(spark, sf_dir), _users(spark, sf_dir))
@@ -280,7 +280,7 @@ def pick_user_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {USERS}, {ASKED}, {FIELDS}, q AS (SELECT role, {KEY.format("role")} AS k FROM ask),
-        h AS (SELECT role, user_id, max(CASE WHEN k = v THEN 1.0 WHEN contains(k, v) OR contains(v, k) THEN 0.8 WHEN length(k) >= 3 AND (contains(v, left(k, 3)) OR contains(v, right(k, 3))) THEN 0.5 ELSE 0 END) AS score FROM q, fl GROUP BY 1, 2),
+        h AS (SELECT role, user_id, max(CASE WHEN k = v THEN 1.0 WHEN contains(k, v) OR contains(v, k) THEN 0.8 WHEN length(k) >= 3 AND (contains(v, left(k, 3)) OR contains(v, right(k, 3))) THEN 0.5 ELSE 0 END) AS score FROM q, fl WHERE is_agent GROUP BY 1, 2),
         r AS (SELECT h.role, h.user_id, h.score::DOUBLE AS score, row_number() OVER (PARTITION BY h.role ORDER BY h.score DESC, us.seq) AS rank FROM h JOIN us ON us.user_id = h.user_id WHERE h.score > 0),
         top AS (SELECT user_id, row_number() OVER (ORDER BY seq) AS rank FROM us WHERE is_agent QUALIFY rank <= 20)
         SELECT role, user_id, score, rank FROM r WHERE rank <= 30 UNION ALL SELECT role, user_id, 0.0, rank FROM q, top WHERE role NOT IN (SELECT role FROM r)"""
@@ -333,7 +333,7 @@ def html_field_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def form_field_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of forms made from the names of parts."""
-    form = F.concat(F.lit("<text-field name='"), text.snake_id("p_name"), F.lit("' label='"), F.col("p_name"), F.lit("'></text-field><select-field v-model=\"form['"), text.snake_id("p_type"), F.lit("']\" type='list'></select-field>"))
+    form = F.concat(F.lit("<text-field name='"), text.snake_id("p_name"), F.lit("' alias='"), F.col("p_name"), F.lit("'></text-field><select-field v-model=\"form['"), text.snake_id("p_type"), F.lit("']\" type='list'></select-field>"))
     return render.form_fields(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("form_id"), form.alias("html")))
 
 
@@ -345,7 +345,7 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT p_partkey AS id, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9_]+', '_', 'g'), '_+', '_', 'g'), '_') AS snake, CASE WHEN lower(p_type) IN ('human', 'agent', 'system') THEN lower(p_type) ELSE 'human' END AS kind,
-              left('Activity_' || p_brand, 17) AS short, 'k' || p_partkey || '_' || lower(p_brand) || '_form' AS form FROM part"""
+              left('Activity_' || p_brand, 17) AS short, 'K' || p_partkey || '_' || p_brand || '_form' AS form FROM part"""
 )
 def enum_and_id_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procgraph.functions.jsonx import disposition_name, extension_of, file_name_of_url, first_field, json_part
+from procgraph.functions.text import strip
 
 #: What an extraction returns for a section; every field may be missing.
 EXTRACTION = """
@@ -70,16 +71,20 @@ def exploded(parsed: DataFrame, kind: str) -> DataFrame:
 
 
 def requests(rows: DataFrame, column: str) -> DataFrame:
-    """url, name, description of requests: JSON fields, else key: value lines, else a bare URL. A name comes from the URL."""
+    """url, name, description of requests: a JSON object, else one after a mark, else key: value text, else a bare URL.
+
+    Of the keys for a field the first that is there counts, even if it is empty. A missing name comes from the URL.
+    """
     x = F.coalesce(F.col(column), F.lit(""))
-    body = json_part(x)
-    line = lambda k: F.nullif(F.regexp_extract(x, rf"(?im)^\s*{k}\s*:\s*(\S.*)$", 1), F.lit(""))
+    whole = F.when(strip(x).startswith("{") & F.try_parse_json(x).isNotNull(), x)
+    marked = F.nullif(F.regexp_extract(x, r"(?s)\[InputData\]\s*(\{[^}]+\})", 1), F.lit(""))
+    marked = F.when(F.try_parse_json(marked).isNotNull(), marked)
+    said = lambda k: F.nullif(F.regexp_extract(x, rf"{k}[:\s]+([^\s,]+)", 1), F.lit(""))
     bare = F.nullif(F.regexp_extract(x, r"(https?://[^\s\"'<>]+)", 1), F.lit(""))
-    is_json = F.try_parse_json(body).isNotNull() & body.startswith("{")
-    field = lambda *k: F.when(is_json, first_field(body, *k))
-    url = F.coalesce(field("pdf_url", "pdf_file_url", "url"), line("pdf_url"), line("url"), bare)
-    name = F.coalesce(field("pdf_name", "pdf_file_name", "name"), line("pdf_name"), F.nullif(file_name_of_url(url), F.lit("")))
-    return rows.select("*", url.alias("url"), name.alias("name"), field("description").alias("description"))
+    free = whole.isNull() & marked.isNull()
+    url = F.coalesce(first_field(whole, "pdf_url", "fileUrl", "pdf_file_url", "fullPath", "publicUrl"), first_field(marked, "fullPath", "publicUrl", "path"), F.when(free, F.coalesce(said("pdf_file_url"), said("pdf_url"), bare)))
+    name = F.coalesce(first_field(whole, "pdf_name", "fileName", "pdf_file_name", "originalFileName"), first_field(marked, "originalFileName", "fileName"), F.when(free, F.coalesce(said("pdf_file_name"), said("pdf_name"))), F.nullif(file_name_of_url(url), F.lit("")))
+    return rows.select("*", url.alias("url"), name.alias("name"), first_field(whole, "description").alias("description"))
 
 
 def download_name(header: Column, url: Column, mime: Column) -> Column:

@@ -18,7 +18,7 @@ def one(spark, expr, **values):
 
 @pytest.mark.parametrize(
     "line, level",
-    [("# A", 1), ("## A", 2), ("### A", 3), ("1. 가나", 1), ("1.1 x", 2), ("1.1.1 x", 3), ("제 1 장 총칙", 1), ("제2조 목적", 2), ("IV. Scope", 1), ("plain", None), ("  # A ", 1), ("", None)],
+    [("# A", 1), ("## A", 2), ("### A", None), ("1. 가나", 1), ("1. Ab", 1), ("1. ab", None), ("1.1 x", 2), ("1.1.1 x", 3), ("제 1 장 총칙", 1), ("제2절 목적", 2), ("제2조 목적", None), ("IV. Scope", 1), ("B. Part", 2), ("plain", None), ("  # A ", 1), ("", None)],
 )
 def test_heading_level(spark, line, level):
     assert one(spark, text.heading_level("a"), a=line) == level
@@ -34,17 +34,19 @@ def test_text_functions(spark):
     assert one(spark, text.or_else("a", "d"), a="") == "d"
     assert one(spark, text.xml_escape("a"), a="<a & 'b'>") == "&lt;a &amp; &apos;b&apos;&gt;"
     assert one(spark, text.form_id("a", "b", "c"), a="formHandler:x/y", b="P", c="A") == "x#y"
-    assert one(spark, text.form_id("a", "b", "c"), a="", b="P", c="A") == "p_a_form"
-    assert one(spark, text.form_id("a", "b", "c"), a="formHandler:defaultform", b="P", c="A") == "a"
-    assert one(spark, text.procedure_steps("a"), a="1. one\n2) two") == ["one", "two"]
-    assert one(spark, text.procedure_steps("a"), a="- one\n* two") == ["one", "two"]
+    assert one(spark, text.form_id("a", "b", "c"), a="", b="P", c="A") == "P_A_form"
+    assert one(spark, text.form_id("a", "b", "c"), a="formHandler:defaultform", b="P", c="A") == "P_a_form"
+    assert one(spark, text.procedure_steps("a"), a="1. one 2) two") == ["one", "two"]
+    assert one(spark, text.procedure_steps("a"), a="- one • two") == ["one", "two"]
     assert one(spark, text.procedure_steps("a"), a="A sentence. No. Another one") == ["A sentence", "Another one"]
+    assert one(spark, text.procedure_steps("a"), a="") == ["작업을 수행합니다."] and one(spark, text.procedure_steps("a"), a="short") == ["short"]
+    assert one(spark, text.keyword_class("a"), a="신청서 자동 작성") == "agent" and one(spark, text.keyword_class("a"), a="신청서 작성") == "human"
     assert one(spark, text.is_uuid("a"), a="123E4567-e89b-12d3-a456-426614174000")
 
 
 def test_similarity(spark):
-    assert one(spark, similarity.char_jaccard(F.col("a"), F.col("b")), a="ab c", b="abd") == pytest.approx(2 / 4)
-    assert one(spark, similarity.core_words_agree(F.col("a"), F.col("b")), a="구매 및 승인", b="승인 요청")
+    assert one(spark, similarity.char_jaccard(F.col("a"), F.col("b")), a="abc", b="abd") == pytest.approx(2 / 4)
+    assert one(spark, similarity.core_words_agree(F.col("a"), F.col("b")), a="구매 및 승인", b="승인") and not one(spark, similarity.core_words_agree(F.col("a"), F.col("b")), a="구매 승인", b="승인")
     assert one(spark, similarity.action(F.col("a").cast("double")), a="0.85") == "review"
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     assert [round(r[0], 6) for r in df.select(similarity.cosine(F.col("a"), F.col("b"))).collect()] == [0.707107, 0.0]
@@ -65,9 +67,9 @@ def test_json_and_names(spark):
     assert one(spark, jsonx.disposition_name(F.col("a")), a="attachment; filename*=UTF-8''a%20b.pdf") == "a b.pdf"
     assert one(spark, jsonx.disposition_name(F.col("a")), a='attachment; filename="c d.pdf"') == "c d.pdf"
     assert one(spark, files.download_name(F.col("a"), F.col("b"), F.col("c")), a="", b="http://h/x/y", c="application/pdf; q=1") == "y.pdf"
-    df = spark.createDataFrame([(1, "pdf_url: http://h/a%20b.pdf"), (2, '{"pdf_url":"http://h/c.pdf","pdf_name":"n"}'), (3, "see http://h/d.pdf now"), (4, None)], "id int, q string")
+    df = spark.createDataFrame([(1, "[InputData] pdf_file_url: http://h/a%20b.pdf"), (2, '{"pdf_url":"http://h/c.pdf","pdf_name":"n"}'), (3, "see http://h/d.pdf now"), (4, None), (5, '[InputData] {"fullPath": "http://h/e", "originalFileName": "e.pdf"}')], "id int, q string")
     got = {r["id"]: (r["url"], r["name"]) for r in files.requests(df, "q").collect()}
-    assert got == {1: ("http://h/a%20b.pdf", "a b.pdf"), 2: ("http://h/c.pdf", "n"), 3: ("http://h/d.pdf", "d.pdf"), 4: (None, None)}
+    assert got == {1: ("http://h/a%20b.pdf", "a b.pdf"), 2: ("http://h/c.pdf", "n"), 3: ("http://h/d.pdf", "d.pdf"), 4: (None, None), 5: ("http://h/e", "e.pdf")}
 
 
 def fold(paras, size, overlap):
@@ -76,10 +78,10 @@ def fold(paras, size, overlap):
         if len(cur) + len(p) <= size:
             cur = cur + "\n\n" + p if cur else p
         else:
-            if cur.strip():
-                out.append(cur.strip())
+            if cur:
+                out.append(cur)
             cur = (cur[-overlap:] if len(cur) > overlap else cur) + " " + p
-    return out + [cur.strip()] if cur.strip() else out
+    return out + [cur] if cur else out
 
 
 def test_fixed_chunks(spark):
@@ -87,21 +89,21 @@ def test_fixed_chunks(spark):
     pages = spark.createDataFrame([(1, 1, "\n\n".join(paras)), (2, 1, ""), (3, 1, "y" * 300)], "doc_id int, page int, text string")
     got = sections.fixed_chunks(pages, 100, 20).orderBy("doc_id", "chunk_no").collect()
     assert [r["text"] for r in got if r["doc_id"] == 1] == fold(paras, 100, 20)
-    assert [r["text"] for r in got if r["doc_id"] == 3] == ["y" * 300] and not [r for r in got if r["doc_id"] == 2]
-    assert {r["span"] for r in got if r["doc_id"] == 3} == {"0:300"}
+    assert [r["text"] for r in got if r["doc_id"] == 3] == [" " + "y" * 300] and not [r for r in got if r["doc_id"] == 2]
+    assert {r["span"] for r in got if r["doc_id"] == 3} == {"0:301"}
 
 
 def test_sections(spark):
     pages = spark.createDataFrame([(1, 1, "before\n# A\na"), (1, 2, "b\n## B\nc"), (1, 3, "d"), (2, 1, "only text")], "doc_id int, page int, text string")
     got = [tuple(r) for r in sections.sections(pages).orderBy("doc_id", "section_no").collect()]
-    assert got == [(1, 1, "# A", 1, 1, 1, "# A\na\nb"), (1, 2, "## B", 2, 2, 3, "## B\nc\nd"), (2, 0, None, 1, 1, 1, "only text")]
+    assert got == [(1, 1, "# A", 1, 1, 1, "# A\na\nb\n"), (1, 2, "## B", 2, 2, 3, "## B\nc\nd\n"), (2, 0, "Document Content", 1, 1, 1, "only text")]
 
 
 def test_semantic_chunks(spark):
     text_ = "# A\n\n" + "a" * 60 + "\n\n# B\n\n" + "b" * 30
     pages = spark.createDataFrame([(1, 1, text_)], "doc_id int, page int, text string")
     got = [r["text"] for r in sections.semantic_chunks(pages, 100, 10).orderBy("chunk_no").collect()]
-    assert got == ["# A\n\n" + "a" * 60, "a" * 10 + " # B\n\n" + "b" * 30]
+    assert got == ["# A\n\n" + "a" * 60, "a" * 10 + "\n\n# B\n\n" + "b" * 30]
 
 
 def test_closure_and_predecessors(spark):
@@ -127,9 +129,9 @@ def test_graph_upserts(spark):
 
 
 def test_merge_tasks(spark):
-    rows = [("1", "p", "r", "Review order", "x", 0), ("2", "p", "r", "Review order now", "y", 1), ("3", "p", "r", "Ship", "z", 2), ("4", "q", "r", "Review order", "w", 3)]
-    got = {r["old_id"]: (r["task_id"], r["description"]) for r in merge.merge_tasks(spark.createDataFrame(rows, "task_id string, process_id string, role_id string, name string, description string, seq long")).collect()}
-    assert got == {"1": ("2", "x | y"), "2": ("2", "x | y"), "3": ("3", "z"), "4": ("4", "w")}
+    rows = [("1", "p", "r", "Review order", "x", 0, 0), ("2", "p", "r", "Review order now", "y", 1, 1), ("3", "p", "r", "Ship", "z", 5, 2), ("5", "p", "r", "Hips", "v", 9, 3), ("4", "q", "r", "Review order", "w", 3, 3)]
+    got = {r["old_id"]: (r["task_id"], r["description"]) for r in merge.merge_tasks(spark.createDataFrame(rows, "task_id string, process_id string, role_id string, name string, description string, order int, seq long")).collect()}
+    assert got == {"1": ("2", "x | y"), "2": ("2", "x | y"), "3": ("3", "z"), "5": ("5", "v"), "4": ("4", "w")}
 
 
 def test_contains_join_beyond_broadcast(spark):
@@ -140,6 +142,24 @@ def test_contains_join_beyond_broadcast(spark):
         assert {tuple(r) for r in resolve.containing(texts, names, "t", "n", small).select("i", "n").collect()} == want
 
 
+def test_element_types(spark):
+    rows = [("Activity", "ServiceTask"), ("Event", "start"), ("Event", "Odd"), ("Event", "odd"), ("Event", ""), ("Gateway", "PARALLEL_GATEWAY"), ("Gateway", None), ("Gateway", "x")]
+    got = [r[0] for r in spark.createDataFrame(rows, "k string, t string").coalesce(1).select(model.element_type("k", "t")).collect()]
+    assert got == ["UserActivity", "StartEvent", "Odd", "IntermediateCatchEvent", "IntermediateCatchEvent", "ParallelGateway", "ExclusiveGateway", "x"]
+
+
+def test_merge_lines(spark):
+    assert one(spark, merge.merge_lines(F.col("a"), F.col("b")), a="x\n y \nx", b="y\nz\nz") == "x\ny\nx\nz"
+    assert one(spark, merge.merge_lines(F.col("a"), F.col("b")), a=" x ", b=" \n") == " x "
+
+
+def test_pick_user(spark):
+    roles = spark.createDataFrame([("Buyer",), ("Chief",), ("none",)], "role string")
+    users = spark.createDataFrame([("1", "x", "buyers", "", False, 0), ("2", "y", "the buyer", "", True, 1), ("3", "chief", "", "", False, 2), ("4", "chief two", "", "", True, 3)], "user_id string, username string, role string, alias string, is_agent boolean, seq int")
+    assert {tuple(r) for r in resolve.pick_user(roles, users).collect()} == {("Buyer", "2", 1), ("Chief", "4", 1)}
+    assert {(r["role"], r["user_id"], r["score"]) for r in resolve.candidates(roles, users).collect()} == {("Buyer", "2", 0.8), ("Chief", "4", 0.8), ("none", "2", 0.0), ("none", "4", 0.0)}
+
+
 def test_repair_and_collapse(spark):
     nodes = spark.createDataFrame([("p", i, k) for k, i in enumerate("abgc")], "process_id string, id string, seq long")
     flows = spark.createDataFrame([("p", "a", "b"), ("p", "b", "g"), ("p", "g", "c")], "process_id string, src string, dst string")
@@ -168,9 +188,9 @@ def test_bpmn_round_trip_escapes(spark):
 
 
 def test_form_fields(spark):
-    html = """<text-field name="a" label="A"></text-field><select-field v-model="f['b']" type="list"></select-field><div name="c">"""
+    html = """<text-field name="a" alias="A" disabled="true"></text-field><select-field v-model="f['b']" type="list"></select-field><div name="c">"""
     got = [tuple(r)[2:] for r in render.form_fields(spark.createDataFrame([(1, html)], "form_id int, html string")).orderBy("n").collect()]
-    assert got == [("text-field", "a", "A", "text"), ("select-field", "b", "", "list")]
+    assert got == [("text-field", "a", "A", "text", "true", "false"), ("select-field", "b", "", "list", "false", "false")]
 
 
 def test_providers(spark):
