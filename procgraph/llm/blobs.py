@@ -12,7 +12,7 @@ import zstandard
 from procgraph.llm.common import utf8
 
 #: Bytes of text that are worked on together; a longer text is a block by itself.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def enc(x: np.ndarray, delta: bool = False) -> bytes:
@@ -43,16 +43,19 @@ class Block:
 
 def blocks(frames: Iterator[pd.DataFrame], limit: int = BLOCK) -> Iterator[Block]:
     for p in frames:
-        texts = [utf8(t) for t in p["text"]]
-        at = 0
+        texts, at = p["text"].tolist(), 0
         while at < len(texts):
-            to, total = at, 0
-            while to < len(texts) and (to == at or total + len(texts[to]) <= limit):
-                total += len(texts[to])
-                to += 1
-            size = np.array([len(t) for t in texts[at:to]], np.int64)
-            yield Block(p.iloc[at:to], np.frombuffer(b"".join(texts[at:to]), np.uint8), np.cumsum(size) - size, size)
-            at = to
+            part, total = [], 0
+            for k in range(at, len(texts)):
+                t = texts[k]
+                raw = utf8(t)
+                if part and total + len(raw) > limit:
+                    break
+                part.append(raw)
+                total += len(raw)
+            size = np.array([len(t) for t in part], np.int64)
+            yield Block(p.iloc[at : at + len(part)], np.frombuffer(b"".join(part), np.uint8), np.cumsum(size) - size, size)
+            at += len(part)
 
 
 def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:

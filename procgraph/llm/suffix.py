@@ -24,8 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from procgraph.llm.blobs import Block, blocks, dec, dec_all, enc, ranges
 from procgraph.llm.common import mix64, shuffle_partitions, utf8
@@ -33,6 +36,14 @@ from procgraph.llm.common import mix64, shuffle_partitions, utf8
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
+def squeeze(b: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b)
+
+
+def unsqueeze(b: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(bytes(b))
+
+
 def words(data: np.ndarray) -> np.ndarray:
     """For every place the eight bytes from there on as one big-endian number."""
     n = len(data)
@@ -187,9 +198,9 @@ def flagged_docs(docs: DataFrame, length: int) -> DataFrame:
             out += [(i, enc(hs, True)) for i, hs in doc_rows(d[by], h[by])]
         return pd.DataFrame(out, columns=["s_id", "hashes"]).astype({"s_id": "int64"})
 
-    shared = docs.mapInPandas(ask, cols).groupBy("bucket").applyInPandas(settle, "s_id long, hashes binary")
+    shared = docs.select("id", "text").mapInPandas(ask, cols).groupBy("bucket").applyInPandas(settle, "s_id long, hashes binary")
     shared = shared.groupBy("s_id").agg(F.collect_list("hashes").alias("hashes"))
-    sample = splitters(docs, length, parts)
+    sample = splitters(docs.select("id", "text"), length, parts)
     split = spark.sparkContext.broadcast(sample)  # one gram for each bucket
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,7 +230,7 @@ def flagged_docs(docs: DataFrame, length: int) -> DataFrame:
             by = stay[np.argsort(bucket, kind="stable")]
             bucket = np.sort(bucket)
             for k, s in doc_rows(bucket, by):
-                text = blk.data[ranges(low[s], high[s] - low[s] + length)].tobytes()
+                text = squeeze(blk.data[ranges(low[s], high[s] - low[s] + length)].tobytes())
                 pos = np.stack([(low - start)[s], (high - low + 1)[s]]).reshape(-1)
                 rows.append((k, 0, 0, enc(doc[s]), enc(pos), text))
             yield frame(rows)
@@ -232,7 +243,7 @@ def flagged_docs(docs: DataFrame, length: int) -> DataFrame:
             doc = dec_all(list(sent["a"]))
             pos = [dec(b).reshape(2, -1) for b in sent["b"]]
             low, n = np.concatenate([x[0] for x in pos]), np.concatenate([x[1] for x in pos])
-            w = words(np.frombuffer(b"".join(map(bytes, sent["c"])), np.uint8))
+            w = words(np.frombuffer(b"".join(map(unsqueeze, sent["c"])), np.uint8))
             size = n + length - 1
             at, of = ranges(np.cumsum(size) - size, n), np.repeat(np.arange(len(n)), n)
             order, group = multikey_order(lambda which, place: w[at[which] + place], key_places(length), len(at))
@@ -247,7 +258,7 @@ def flagged_docs(docs: DataFrame, length: int) -> DataFrame:
             out += [(i, enc(lo, True), enc(c)) for i, lo, c in doc_rows(d[new], where[new], count)]
         return pd.DataFrame(out, columns=["f_id", "low", "count"]).astype({"f_id": "int64"})
 
-    near = docs.join(shared, F.col("id") == F.col("s_id")).select("id", "text", "hashes")
+    near = docs.join(shared, F.col("id") == F.col("s_id")).drop("s_id")
     return near.mapInPandas(send, cols).groupBy("bucket").applyInPandas(sort, "f_id long, low binary, count binary")
 
 
@@ -277,10 +288,14 @@ def spans(lows: list, counts: list, length: int) -> list[tuple[int, int]]:
 
 
 def _with_flags(docs: DataFrame, length: int) -> DataFrame:
-    """All rows of docs, with id, lows and counts; docs has doc_id and text."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    flags = flagged_docs(plain.where(F.col("id").isNotNull()), length).groupBy("f_id").agg(F.collect_list("low").alias("lows"), F.collect_list("count").alias("counts"))
-    return docs.join(flags, F.col("doc_id").cast("long") == F.col("f_id"), "left")
+    """The rows of docs with lows and counts; docs has id, text and others.
+
+    Both joins take the same columns of the same rows by the same key, so that the texts are shuffled once.
+    """
+    named = docs.where(F.col("id").isNotNull())
+    flags = flagged_docs(named, length).groupBy("f_id").agg(F.collect_list("low").alias("lows"), F.collect_list("count").alias("counts"))
+    none = [F.lit(None).cast("array<binary>").alias(c) for c in ("lows", "counts")]
+    return named.join(flags, F.col("id") == F.col("f_id"), "left").drop("f_id").unionByName(docs.where(F.col("id").isNull()).select("*", *none))
 
 
 def digests(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -299,40 +314,45 @@ def digests(docs: DataFrame, length: int = 50) -> DataFrame:
                 kept.update(raw[at:])
                 out.append((len(raw), sum(hi - lo for lo, hi in cut), len(cut), kept.hexdigest()))
             res = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            res.insert(0, "doc_id", p["doc_id"].astype("Int64").to_numpy(dtype=object))
-            yield res.astype({"doc_id": "Int64"})
+            res.insert(0, "doc_id", p["id"].astype("Int64").array)
+            yield res
 
-    found = _with_flags(docs.select("doc_id", "text"), length)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lows", "counts").mapInPandas(run, schema)
+    found = _with_flags(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), length)
+    return found.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove(docs: DataFrame, length: int = 50) -> DataFrame:
-    """docs without the repeated bytes, with its columns; n_chars follows. Characters that are covered in part stay."""
+def cut_text(text: str, lows: list, counts: list, length: int) -> str:
+    """A text without its repeated bytes; characters that are covered in part stay."""
+    raw, out, at = utf8(text), [], 0
+    for lo, hi in spans(lows, counts, length):
+        while lo < hi and raw[lo] & 0xC0 == 0x80:
+            lo += 1
+        while hi > lo and hi < len(raw) and raw[hi] & 0xC0 == 0x80:
+            hi -= 1
+        out.append(raw[at:lo])
+        at = hi
+    return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in frames:
-            texts = []
-            for text, lows, counts in zip(p["text"], p["lows"], p["counts"], strict=True):
-                if lows is None or text is None:
-                    texts.append(text)
-                    continue
-                raw, out, at = utf8(text), [], 0
-                for lo, hi in spans(list(lows), list(counts), length):
-                    while lo < hi and raw[lo] & 0xC0 == 0x80:
-                        lo += 1
-                    while hi > lo and hi < len(raw) and raw[hi] & 0xC0 == 0x80:
-                        hi -= 1
-                    out.append(raw[at:lo])
-                    at = hi
-                texts.append(b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass"))
-            yield p.drop(columns=["lows", "counts"]).assign(text=texts)
-
-    found = _with_flags(docs, length)
-    touched = found.where(F.col("lows").isNotNull()).select("doc_id", "text", "lows", "counts")
-    fresh = touched.mapInPandas(run, touched.drop("lows", "counts").schema)
-    fresh = fresh.select(F.col("doc_id").alias("t_id"), F.col("text").alias("t_text")).dropDuplicates(["t_id"])
-    out = docs.join(fresh, F.col("doc_id") == F.col("t_id"), "left")
-    hit = F.col("t_id").isNotNull()
-    cols = [F.when(hit, F.col("t_text")).otherwise(F.col("text")).alias("text") if c == "text" else F.when(hit, F.length("t_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*cols)
+
+def remove(docs: DataFrame, length: int = 50) -> DataFrame:
+    """docs without the repeated bytes, with its columns; n_chars follows."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    plain = docs.select(F.col("doc_id").cast("long").alias("id"), "text", *[F.col(c).alias(f"x{i}") for i, c in enumerate(others)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [b.column(n) for n in b.schema.names if n not in ("lows", "counts")]
+            names = [n for n in b.schema.names if n not in ("lows", "counts")]
+            texts, lows, counts = (b.column(n).to_pylist() for n in ("text", "lows", "counts"))
+            fresh = [t if lo is None or t is None else cut_text(t, lo, n, length) for t, lo, n in zip(texts, lows, counts, strict=True)]
+            at = names.index("text")
+            cols[at] = pa.array(fresh, cols[at].type)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([lo is not None for lo in lows])], [*names, "hit"])
+
+    found = _with_flags(plain, length)
+    schema = StructType([*(f for f in found.schema if f.name not in ("lows", "counts")), StructField("hit", BooleanType())])
+    out = found.mapInArrow(run, schema)
+    back = {"doc_id": F.col("id"), "text": F.col("text")} | {c: F.col(f"x{i}") for i, c in enumerate(others)}
+    if "n_chars" in others:
+        back["n_chars"] = F.when(F.col("hit"), F.length("text").cast("long")).otherwise(back["n_chars"])
+    return out.select(*[back[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
