@@ -114,16 +114,16 @@ def assess(docs: DataFrame, keep_per_cent: int = 50, **limits) -> DataFrame:
 
 def clean(docs: DataFrame, keep_per_cent: int = 50, **limits) -> DataFrame:
     """The rows of docs that are kept, with the columns of docs; removed lines are gone from text, n_chars follows."""
-    counted = base(docs).where(~F.col("base_failed")).select(F.col("doc_id").alias("b_id"), F.col("digest").alias("b_digest"), "n_words").groupBy("b_id", "b_digest").agg(F.max("n_words").alias("n_words"))
-    right = removals(docs, **limits)
-    verdict = counted.join(right, F.col("b_id").eqNullSafe(F.col("r_id")) & (F.col("b_digest") == F.col("r_digest")), "left")
+    counted = base(docs).where(~F.col("base_failed")).select(F.col("doc_id").alias("_pg_b_id"), F.col("digest").alias("_pg_b_digest"), "n_words").groupBy("_pg_b_id", "_pg_b_digest").agg(F.max("n_words").alias("n_words"))
+    right = removals(docs.select("doc_id", "text", "source"), **limits)
+    verdict = counted.join(right, F.col("_pg_b_id").eqNullSafe(F.col("r_id")) & (F.col("_pg_b_digest") == F.col("r_digest")), "left")
     gone = F.aggregate(F.coalesce("removed", F.array().cast("array<struct<pos:int,words:int>>")), F.lit(0), lambda acc, x: acc + x["words"])
-    verdict = verdict.where(100 * (F.col("n_words") - gone) >= keep_per_cent * F.col("n_words")).select("b_id", "b_digest", F.transform("removed", lambda x: x["pos"]).alias("b_removed"))
-    on = F.col("b_id").eqNullSafe(F.col("doc_id")) & (F.col("b_digest") == F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    rest = let(F.col("b_removed"), lambda gone: F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n"))
-    out = docs.join(verdict, on).withColumn("text", F.when(F.col("b_removed").isNull(), F.col("text")).otherwise(rest))
+    verdict = verdict.where(100 * (F.col("n_words") - gone) >= keep_per_cent * F.col("n_words")).select("_pg_b_id", "_pg_b_digest", F.transform("removed", lambda x: x["pos"]).alias("_pg_b_removed"))
+    on = F.col("_pg_b_id").eqNullSafe(F.col("doc_id")) & (F.col("_pg_b_digest") == F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    rest = let(F.col("_pg_b_removed"), lambda gone: F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    out = docs.join(verdict, on).withColumn("text", F.when(F.col("_pg_b_removed").isNull(), F.col("text")).otherwise(rest))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("b_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("_pg_b_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
 
 

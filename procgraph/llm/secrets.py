@@ -145,16 +145,17 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     return let(marked, lambda p: F.when(F.size(p) > 1, F.aggregate(p, begin, step, lambda acc: acc["out"])).otherwise(empty))
 
 
-def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with another column, secret_spans: array of structs (start, k, stop), by start, then by the rule's place k."""
+def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, out: str = "secret_spans") -> DataFrame:
+    """docs with another column: array of structs (start, k, stop), by start, then by the rule's place k."""
     empty = F.array().cast("array<struct<start:int,k:int,stop:int>>")
-    joined = docs.join(candidates(docs, rules), F.col("doc_id").eqNullSafe(F.col("c_id")), "left")
+    found_in = candidates(docs.select("doc_id", "text"), rules).select(F.col("c_id").alias("_pg_id"), F.col("kinds").alias("_pg_kinds"))
+    joined = docs.join(found_in, F.col("doc_id").eqNullSafe(F.col("_pg_id")), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     found = []
     for k, r in enumerate(rules):
         spans = spans_of(text, r, k)
-        found.append(F.when(F.array_contains("kinds", r.kind), spans).otherwise(empty) if trigram_query(r.pattern) else spans)
-    return joined.withColumn("secret_spans", F.array_sort(F.concat(*found))).drop("c_id", "kinds")
+        found.append(F.when(F.array_contains("_pg_kinds", r.kind), spans).otherwise(empty) if trigram_query(r.pattern) else spans)
+    return joined.withColumn(out, F.array_sort(F.concat(*found))).drop("_pg_id", "_pg_kinds")
 
 
 def joined_spans(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -185,10 +186,10 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, by: str = "[SECRET]
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate("secret_spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    hit = F.size("secret_spans") > 0
-    out = find(docs, rules).withColumn("new_text", F.when(hit, whole).otherwise(text))
-    cols = [F.col("new_text").alias("text") if c == "text" else F.when(hit, F.length("new_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    whole = F.aggregate("_pg_spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    hit = F.size("_pg_spans") > 0
+    out = find(docs, rules, "_pg_spans").withColumn("_pg_text", F.when(hit, whole).otherwise(text))
+    cols = [F.col("_pg_text").alias("text") if c == "text" else F.when(hit, F.length("_pg_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*cols)
 
 

@@ -266,5 +266,5 @@ def classes(docs: DataFrame, radius: int = 3, width: int = 3, sample_rows: int =
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, with its columns, that stand for their component: those with its smallest id, one of each."""
-    stay = classes(docs, **how).where("doc_id = component_id").select(F.col("doc_id").alias("k_id")).distinct()
-    return docs.join(stay, F.col("doc_id") == F.col("k_id"), "left_semi")
+    stay = classes(docs.select("doc_id", "text"), **how).where("doc_id = component_id").select(F.col("doc_id").alias("_pg_id")).distinct()
+    return docs.join(stay, F.col("doc_id") == F.col("_pg_id"), "left_semi")
