@@ -118,12 +118,28 @@ def groups(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def shared_grams(w: np.ndarray, at: np.ndarray, doc: np.ndarray, gram: int) -> np.ndarray:
+    """Which of some anchors have a gram, by its hash, that anchors of other documents have, too."""
+    key = np.zeros(len(at), np.uint64)
+    for k in key_places(gram):
+        key = mix64(key ^ w[at + k])
+    by = np.argsort(key, kind="stable")
+    begin = groups(key[by])
+    if not len(begin):
+        return by
+    d = doc[by]
+    several = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
+    return np.sort(by[np.repeat(several, np.diff(np.append(begin, len(by))))])
+
+
 def multikey_order(key_at, places: list[int], n: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted order of n strings and the group of equal strings of each, by multikey quicksort.
 
     key_at(which, place) gives the keys at a place of the strings. After each key only strings that aren't alone are
     sorted on, within their group.
     """
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = key_at(np.arange(n), places[0])
     order = np.argsort(first, kind="stable")
     begin = groups(first[order])
@@ -145,6 +161,15 @@ def multikey_order(key_at, places: list[int], n: int) -> tuple[np.ndarray, np.nd
     return order, group
 
 
+def packed(x: np.ndarray) -> bytes:
+    """A few numbers as bytes; there are many such rows, so compressing each would cost more than it saves."""
+    return x.astype("<i8").tobytes()
+
+
+def unpacked(blobs: list) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), "<i8")
+
+
 def doc_rows(doc: np.ndarray, *cols: np.ndarray) -> Iterator[tuple]:
     """Slices of the columns for each document; all sorted by it."""
     begin = groups(doc)
@@ -178,7 +203,7 @@ def flagged_docs(docs: DataFrame, length: int) -> DataFrame:
             cut, cut2 = np.searchsorted(one_b, np.arange(parts + 1)), np.searchsorted(both_b, np.arange(parts + 1))
             rows = [(k, 0, 0, enc(one_h[cut[k] : cut[k + 1]], True), enc(one_d[cut[k] : cut[k + 1]]), enc(both[cut2[k] : cut2[k + 1]], True)) for k in range(parts) if cut[k] < cut[k + 1] or cut2[k] < cut2[k + 1]]
             local = np.lexsort((h[several], d[several]))
-            rows += [(i % parts, 1, i, enc(hs, True), None, None) for i, hs in doc_rows(d[several][local], h[several][local])]
+            rows += [(i % parts, 1, i, packed(hs), None, None) for i, hs in doc_rows(d[several][local], h[several][local])]
             yield frame(rows)
 
     def settle(p: pd.DataFrame) -> pd.DataFrame:
@@ -195,7 +220,7 @@ def flagged_docs(docs: DataFrame, length: int) -> DataFrame:
             shared = np.repeat(np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin), size) | np.isin(h, both)
             h, d = h[shared], d[shared]
             by = np.lexsort((h, d))
-            out += [(i, enc(hs, True)) for i, hs in doc_rows(d[by], h[by])]
+            out += [(i, packed(hs)) for i, hs in doc_rows(d[by], h[by])]
         return pd.DataFrame(out, columns=["s_id", "hashes"]).astype({"s_id": "int64"})
 
     shared = docs.select("id", "text").mapInPandas(ask, cols).groupBy("bucket").applyInPandas(settle, "s_id long, hashes binary")
@@ -207,7 +232,7 @@ def flagged_docs(docs: DataFrame, length: int) -> DataFrame:
         """Stretches of text around anchors, by ranges of the anchors' suffixes; equal stretches go once."""
         for blk in blocks(frames):
             x, ids = Anchors(blk, length), blk.rows["id"].to_numpy()
-            wanted = [np.unique(dec_all(list(hs), True)).astype(np.uint64) | np.uint64(i << 48) for i, hs in enumerate(blk.rows["hashes"])]
+            wanted = [unpacked(list(hs)).view(np.uint64) | np.uint64(i << 48) for i, hs in enumerate(blk.rows["hashes"])]
             keys = np.concatenate(wanted) if wanted else np.zeros(0, np.uint64)
             use = np.flatnonzero(np.isin(x.hash | (x.doc.astype(np.uint64) << np.uint64(48)), keys)) if len(x.low) else np.zeros(0, np.int64)
             low, high, at, doc = x.low[use], x.high[use], x.at[use], ids[x.doc[use]]
@@ -225,13 +250,13 @@ def flagged_docs(docs: DataFrame, length: int) -> DataFrame:
             stay = np.setdiff1d(np.arange(len(use)), gone)
             start = blk.start[x.doc[use]]
             gone = gone[np.lexsort((low[gone], doc[gone]))]
-            rows = [(i % parts, 1, i, enc(lo, True), enc(n), None) for i, lo, n in doc_rows(doc[gone], (low - start)[gone], (high - low + 1)[gone])]
+            rows = [(i % parts, 1, i, packed(lo), packed(n), None) for i, lo, n in doc_rows(doc[gone], (low - start)[gone], (high - low + 1)[gone])]
             bucket = np.searchsorted(split.value, x.grams(use[stay]), "right")
             by = stay[np.argsort(bucket, kind="stable")]
             bucket = np.sort(bucket)
             for k, s in doc_rows(bucket, by):
                 text = squeeze(blk.data[ranges(low[s], high[s] - low[s] + length)].tobytes())
-                pos = np.stack([(low - start)[s], (high - low + 1)[s]]).reshape(-1)
+                pos = np.stack([(low - start)[s], (high - low + 1)[s], (at - low)[s]]).reshape(-1)
                 rows.append((k, 0, 0, enc(doc[s]), enc(pos), text))
             yield frame(rows)
 
@@ -241,21 +266,22 @@ def flagged_docs(docs: DataFrame, length: int) -> DataFrame:
         sent = p[p["kind"] == 0]
         if len(sent):
             doc = dec_all(list(sent["a"]))
-            pos = [dec(b).reshape(2, -1) for b in sent["b"]]
-            low, n = np.concatenate([x[0] for x in pos]), np.concatenate([x[1] for x in pos])
+            low, n, to = np.concatenate([dec(b).reshape(3, -1) for b in sent["b"]], 1)
             w = words(np.frombuffer(b"".join(map(unsqueeze, sent["c"])), np.uint8))
-            size = n + length - 1
-            at, of = ranges(np.cumsum(size) - size, n), np.repeat(np.arange(len(n)), n)
+            begins = np.cumsum(n + length - 1) - (n + length - 1)
+            keep = shared_grams(w, begins + to, doc, length // 2 - 1)
+            doc, low, n, begins = doc[keep], low[keep], n[keep], begins[keep]
+            at, of = ranges(begins, n), np.repeat(np.arange(len(n)), n)
             order, group = multikey_order(lambda which, place: w[at[which] + place], key_places(length), len(at))
             d = doc[of[order]]
             begin = groups(group)
-            later = order[d > np.minimum.reduceat(d, begin)[group]]
-            d, where = doc[of[later]], (low[of] + at - (np.cumsum(size) - size)[of])[later]
+            later = order[d > np.minimum.reduceat(d, begin)[group]] if len(order) else order
+            d, where = doc[of[later]], (low - begins)[of[later]] + at[later]
             by = np.lexsort((where, d))
             d, where = d[by], where[by]
             new = np.flatnonzero((np.diff(d, prepend=d[:1] - 1) != 0) | (np.diff(where, prepend=-2) != 1))
             count = np.diff(np.append(new, len(d)))
-            out += [(i, enc(lo, True), enc(c)) for i, lo, c in doc_rows(d[new], where[new], count)]
+            out += [(i, packed(lo), packed(c)) for i, lo, c in doc_rows(d[new], where[new], count)]
         return pd.DataFrame(out, columns=["f_id", "low", "count"]).astype({"f_id": "int64"})
 
     near = docs.join(shared, F.col("id") == F.col("s_id")).drop("s_id")
@@ -279,8 +305,8 @@ def splitters(docs: DataFrame, length: int, parts: int, sample_docs: int = 2000)
 
 def spans(lows: list, counts: list, length: int) -> list[tuple[int, int]]:
     """The maximal runs of bytes that strings starting at the given places cover."""
-    low = np.concatenate([dec(b, True) for b in lows])
-    end = low + np.concatenate([dec(b) for b in counts]) + length - 1
+    low = unpacked(lows)
+    end = low + unpacked(counts) + length - 1
     by = np.argsort(low, kind="stable")
     low, end = low[by], np.maximum.accumulate(end[by])
     new = np.flatnonzero(np.append(True, low[1:] > end[:-1]))
