@@ -14,6 +14,7 @@ never. Repeated rows are packed one by one. Other columns of the input aren't re
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -32,33 +33,68 @@ from tokenizers import Tokenizer
 from procgraph.llm.common import shuffle_partitions, stored
 
 #: A dictionary of words is emptied when it has so many, which bounds a worker's memory.
-CACHE = 400_000
-ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
+CACHE = 800_000
+#: Texts whose unknown words are looked up together.
+TOGETHER = 128
+ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordTokenizer:
-    """Token ids of texts by a tokenizer that drops white space, word by word with a dictionary of words."""
+    """Token ids of texts by a tokenizer that drops white space, word by word with a dictionary of words.
+
+    A word falls into the parts that the file's pattern gives; the last token of each part, and no other, ends a word. Unknown
+    parts are therefore encoded in one call, and the ids are told apart by those tokens.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        suffix, vocab = file["model"]["end_of_word_suffix"], file["model"]["vocab"]
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.pattern = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def packed(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers; what is done here is what the file's normalizer does."""
+    def words(self, text: str) -> list[str]:
+        """White space apart; what is done here is what the file's normalizer does."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").replace("İ", "i̇")
         text = text.lower()
-        words = regex.split(r"\s+", text) if ODD_SPACE.search(text) else text.split()
-        known = self.known
-        if fresh := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) + len(fresh) > CACHE:
-                known.clear()
-                fresh = list(dict.fromkeys(words))
-            for w, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        return regex.split(r"\s+", text) if any(c in text for c in ODD_SPACES) else text.split()
+
+    def learn(self, fresh: set[str]) -> None:
+        split = {w: [w] if w.isalpha() else self.pattern.findall(w) for w in fresh}
+        parts = self.parts
+        ask = list({p for ps in split.values() for p in ps if p not in parts})
+        if ask:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(ask)], add_special_tokens=False)[0].ids, "<u4")
+            stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stop) != len(ask):
+                raise RuntimeError("the tokenizer does not end each part with one token")
+            raw = ids.tobytes()
+            parts.update((p, raw[i:j]) for p, i, j in zip(ask, [0, *stop[:-1].tolist()], stop.tolist(), strict=True))
+        self.known.update((w, b"".join([parts[p] for p in ps])) for w, ps in split.items())
+
+    def packed_all(self, texts: list) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; null texts are empty."""
+        for at in range(0, len(texts), TOGETHER):
+            if len(self.known) > CACHE or len(self.parts) > CACHE:
+                self.known.clear()
+                self.parts.clear()
+            words = [self.words(t) if isinstance(t, str) else [] for t in texts[at : at + TOGETHER]]
+            get = self.known.get
+            got = [list(map(get, ws)) for ws in words]
+            if fresh := {w for ws, g in zip(words, got, strict=True) if None in g for w, x in zip(ws, g, strict=True) if x is None}:
+                self.learn(fresh)
+                got = [list(map(get, ws)) if None in g else g for ws, g in zip(words, got, strict=True)]
+            yield from map(b"".join, got)
+
+    def packed(self, text: str) -> bytes:
+        return next(self.packed_all([text]))
 
 
 @cache
@@ -74,8 +110,8 @@ def cut(docs: DataFrame, max_tokens: int = 2048, end_id: int = 0, path: str | No
         t, end = word_tokenizer(path), np.array([end_id], "<u4").tobytes()
         for p in parts:
             out = []
-            for doc_id, text in zip(p["doc_id"].astype("Int64"), p["text"], strict=True):
-                ids = (t.packed(text) if isinstance(text, str) else b"") + end
+            for doc_id, ids in zip(p["doc_id"].astype("Int64"), t.packed_all(p["text"].tolist()), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * max_tokens)):
                     x = ids[at : at + 4 * max_tokens]
                     out.append((doc_id, k, at // 4, len(x) // 4, zlib.crc32(x)))
