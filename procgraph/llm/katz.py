@@ -332,7 +332,7 @@ def finish(p: pd.DataFrame, total: int) -> pd.DataFrame:
     )
 
 
-def score(docs: DataFrame, held_out: Column | None = None, block_bytes: int = BLOCK) -> DataFrame:
+def score(docs: DataFrame, held_out: Column | None = None, block_bytes: int = 3 << 20) -> DataFrame:
     """Learns from the rows that aren't held out (crc32 of the id modulo 5 is 1) and scores all rows."""
     spark = docs.sparkSession
     parts = 2 * shuffle_partitions(spark)
