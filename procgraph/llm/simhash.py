@@ -26,7 +26,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from procgraph.llm.common import stored, utf8
@@ -264,6 +264,19 @@ def classes(docs: DataFrame, radius: int = 3, width: int = 3, sample_rows: int =
     return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def one_row(docs: DataFrame, member: DataFrame) -> DataFrame:
+    """One row of docs for each component. member: doc_id, digest (xxhash64 of the text), component, for every row of docs.
+
+    Of a component stays the smallest id, null ids last, then the smallest digest; of rows equal in both one, by a digest
+    of the row.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("digest").alias("digest"))
+    stay = member.groupBy("component").agg(F.min(key).alias("k")).select(F.col("k.id").alias("_pg_id"), F.col("k.digest").alias("_pg_digest"))
+    kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_pg_id")) & (F.xxhash64("text") == F.col("_pg_digest")))
+    nth = F.row_number().over(Window.partitionBy("_pg_id", "_pg_digest").orderBy(F.xxhash64(*docs.columns)))
+    return kept.withColumn("_pg_nth", nth).where("_pg_nth = 1").select(*docs.columns)
+
+
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, with its columns, that stand for their component: those with its smallest id, one of each."""
     stay = classes(docs.select("doc_id", "text"), **how).where("doc_id = component_id").select(F.col("doc_id").alias("_pg_id")).distinct()
