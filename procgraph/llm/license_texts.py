@@ -1,4 +1,10 @@
-"""Texts of well-known short licenses and license notices (fixed values)."""
+"""Texts of well-known licenses and license notices (fixed values).
+
+What follows the license in a name tells forms of it apart: -line and -notice refer to it, -title (-title-2, ...) is the text
+under one of its usual titles, -terms the text up to the end of its terms, without the advice on how to apply it.
+"""
+
+from procgraph.llm.license_files import FULL
 
 _WARRANTY_MIT = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
@@ -90,3 +96,20 @@ KNOWN = {
         "not be removed or altered from any source distribution."
     ),
 }
+
+#: Titles under which the short texts are found.
+TITLES = {
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "0BSD", "BSD 0-Clause License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "The 2-Clause BSD License", "BSD License", "The BSD License", "The BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "The 3-Clause BSD License", "BSD License", "The BSD License", "The BSD 3-Clause License", "New BSD License", "Modified BSD License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "ISC"),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"),
+    "MIT-0": ("MIT No Attribution", "MIT No Attribution License", "MIT-0", "MIT-0 License"),
+    "Unlicense": ("The Unlicense", "Unlicense", "The Unlicense (Unlicense)"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License", "zlib License (Zlib)"),
+}
+_END = "END OF TERMS AND CONDITIONS"
+
+KNOWN |= {f"{k}-title{f'-{n}' if n > 1 else ''}": f"{title}\n\n{KNOWN[k]}" for k, titles in TITLES.items() for n, title in enumerate(titles, 1)}
+KNOWN |= FULL
+KNOWN |= {f"{k}-terms": t[: t.index(_END) + len(_END)] for k, t in FULL.items() if _END in t}
