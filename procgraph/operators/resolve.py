@@ -121,12 +121,17 @@ def similar_entity(entities: DataFrame, existing: DataFrame) -> DataFrame:
     return out.withColumn("action", action(F.col("similarity")))
 
 
-def token_blocks(rows: DataFrame, most_rows: int = 1000) -> DataFrame:
-    """a, b, common for pairs that share words, blocked by an inverted index of words of at most so many rows. rows: id, name."""
+def token_blocks(rows: DataFrame, split_rows: int = 1000) -> DataFrame:
+    """a, b, common for all pairs that share words, by an inverted index. rows: id, name.
+
+    A word of more than split_rows rows is split: one side of its pairs lies in one of several parts, the other in all.
+    """
     words = rows.select("id", F.explode(F.array_distinct(F.filter(F.split(F.lower("name"), r"(?U)\s+"), lambda w: w != ""))).alias("word"))
-    rare = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most_rows)
-    kept = words.join(rare, "word", "left_semi")
-    pairs = kept.alias("x").join(kept.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.id") < F.col("y.id")))
+    several = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("word", F.ceil(F.col("n") / split_rows).alias("parts"))
+    kept = words.join(several, "word")
+    x = kept.select("id", "word", F.pmod(F.xxhash64("id"), "parts").alias("part"))
+    y = kept.select("id", "word", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    pairs = x.alias("x").join(y.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.id") < F.col("y.id")))
     return pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("common"))
 
 
