@@ -13,7 +13,8 @@ keeps components as they are. Components are then found by propagating the small
 
 Defined results: a null text is an empty one; texts without words have fingerprint zero, and it links like any other. Null
 ids: the row keeps its fingerprint and its component is the smallest id of it that isn't null. Repeated rows give one result
-each. Other columns of the input aren't read.
+each. Other columns of the input aren't read. keep_one keeps one row of each component: the smallest id, null ids last, then
+the smallest digest of the text; of repeated rows one.
 """
 
 from __future__ import annotations
@@ -49,14 +50,14 @@ def fingerprint(text: object, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
+    """doc_id, digest (of the text), fp: the fingerprint as a signed long."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in frames:
             fp = np.array([fingerprint(t, width) for t in p["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64"), "fp": fp})
+            yield pd.DataFrame({"doc_id": p["doc_id"].astype("Int64"), "digest": p["digest"], "fp": fp})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text").mapInPandas(run, "doc_id long, digest long, fp long")
 
 
 @dataclass(frozen=True)
@@ -247,8 +248,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def classes(docs: DataFrame, radius: int = 3, width: int = 3, sample_rows: int = 4096) -> DataFrame:
-    """doc_id, fingerprint (16 lowercase hex digits), component_id of every row of docs."""
+def rooted(docs: DataFrame, radius: int = 3, width: int = 3, sample_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """fingerprints() of docs; and fp, least_id, root (the fingerprint that names the component) of each fingerprint."""
     spark = docs.sparkSession
     prints = stored(fingerprints(docs, width), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
@@ -257,9 +258,14 @@ def classes(docs: DataFrame, radius: int = 3, width: int = 3, sample_rows: int =
     sample = [r["fp"] for r in distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < share * (1 << 20)).limit(sample_rows).collect()]  # only to estimate
     p = plan(np.array(sorted(sample), np.int64).view(np.uint64), n, radius)
     member = components(links(distinct.select("fp"), p, radius))
-    rooted = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    return prints, distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+
+
+def classes(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, fingerprint (16 lowercase hex digits), component_id of every row of docs."""
+    prints, roots = rooted(docs, **how)
+    least = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = roots.join(least, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
@@ -278,6 +284,6 @@ def one_row(docs: DataFrame, member: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, with its columns, that stand for their component: those with its smallest id, one of each."""
-    stay = classes(docs.select("doc_id", "text"), **how).where("doc_id = component_id").select(F.col("doc_id").alias("_pg_id")).distinct()
-    return docs.join(stay, F.col("doc_id") == F.col("_pg_id"), "left_semi")
+    """The rows of docs, with its columns, that stand for their component: one of each, as in one_row()."""
+    prints, roots = rooted(docs.select("doc_id", "text"), **how)
+    return one_row(docs, prints.join(roots, "fp").select("doc_id", "digest", F.col("root").alias("component")))

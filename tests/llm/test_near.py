@@ -69,3 +69,14 @@ def test_stage_finds_copies_that_are_many_bits_apart(spark):
     assert (simhash.fingerprint(texts[0], 5) ^ simhash.fingerprint(texts[1], 5)).bit_count() > 3
     docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], DOCS)
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2]
+
+
+@pytest.mark.parametrize("keep_one", [simhash.keep_one, near.keep_one])
+def test_one_row_of_each_component(spark, keep_one):
+    """Null ids, repeated rows, one id with two texts."""
+    say = lambda c: " ".join(f"{c}{i}" for i in range(90))
+    rows = [(None, say("a"), "s"), (None, say("b"), "s"), (None, say("b"), "t"), (3, say("c"), "s"), (3, say("c"), "s"), (None, say("c"), "s"), (5, say("d"), "s"), (5, say("e"), "s"), (5, say("e"), None)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"][0]) for r in got.collect()) == [("3", "c"), ("5", "d"), ("5", "e"), ("None", "a"), ("None", "b")]
