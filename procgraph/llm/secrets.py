@@ -6,7 +6,8 @@ gives candidates, and the expression runs over the whole text of a candidate onl
 over every text.
 
 Defined results: a null text is an empty one and has no spans. Matches of one rule are leftmost and don't overlap;
-matches that fail the rule's length are dropped after matching. Spans of different rules may overlap; spans that start
+matches that fail the rule's length are dropped after matching. A private key goes from its BEGIN line over the
+base64 body to its END line; where that doesn't follow, the BEGIN line alone counts. Spans of different rules may overlap; spans that start
 together keep the order of the rules. Repeated rows are scanned one by one (candidates are a superset, so equal ids do no
 harm); other columns of the input don't matter. Only DataFrame functions run.
 """
@@ -42,12 +43,14 @@ def any_case(word: str) -> str:
 
 
 _ASSIGN = "|".join([any_case("password"), any_case("passwd"), any_case("secret"), any_case("token"), any_case("api") + "_?" + any_case("key")])
+#: What lies between the lines of a key: two kinds of headers, base64, line ends (also written as two characters).
+_KEY_BODY = r"(\s*(Proc-Type|DEK-Info): [A-Za-z0-9,-]+)*[A-Za-z0-9+/=\\\s]*"
 
 RULES = (
     Rule("assign", rf"""({_ASSIGN})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     Rule("hex", r"[0-9a-f]+", 0, 24, True),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----({_KEY_BODY}-----END [A-Z ]*PRIVATE KEY-----)?"),
     Rule("git_token", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
     Rule("map_key", r"AIza[A-Za-z0-9_-]+", 0, 39),
