@@ -1,12 +1,13 @@
 """A property graph in DataFrames: nodes by label, and edges (rel, src, dst, condition).
 
-Upserts keep one row for a key; edges need both ends. Every operator is a plan without actions.
+Upserts keep one row for a key; edges need both ends. Every operator but paths, closure and predecessors is a plan without actions.
 """
 
 from __future__ import annotations
 
 import tempfile
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -116,19 +117,6 @@ def node_stats(counted: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFram
     return named.join(n, "label", "left").select("label", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def paths(next_edges: DataFrame, most: int = 100) -> DataFrame:
-    """All paths over NEXT edges that use no edge twice: start, stop, hops, names (ids joined by >)."""
-    spark = next_edges.sparkSession
-    next_edges.select("src", "dst").distinct().createOrReplaceTempView("_pg_next")
-    return spark.sql(f"""
-      WITH RECURSIVE p(start, stop, hops, path) AS (
-        SELECT src, dst, 1, array(concat(src, '>', dst)) FROM _pg_next
-        UNION ALL
-        SELECT p.start, e.dst, p.hops + 1, array_append(p.path, concat(e.src, '>', e.dst))
-        FROM p JOIN _pg_next e ON e.src = p.stop WHERE NOT array_contains(p.path, concat(e.src, '>', e.dst)) AND p.hops < {most})
-      SELECT start, stop, hops FROM p""")
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder of the session, which executors share; a temporary one only where none is set."""
     sc = df.sparkSession.sparkContext
@@ -137,6 +125,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def paths(next_edges: DataFrame) -> DataFrame:
+    """All paths over NEXT edges that use no edge twice: start, stop, hops. A round a hop, until nothing is new."""
+    edges = checkpointed(next_edges.select("src", "dst", F.concat("src", F.lit(">"), "dst").alias("_edge")).distinct())
+    fresh = checkpointed(edges.select(F.col("src").alias("start"), F.col("dst").alias("stop"), F.lit(1).alias("hops"), F.array("_edge").alias("_path")))
+    rounds = []
+    while not fresh.isEmpty():
+        rounds.append(fresh.drop("_path"))
+        step = fresh.join(edges, (F.col("stop") == F.col("src")) & ~F.array_contains("_path", F.col("_edge")))
+        fresh = checkpointed(step.select("start", F.col("dst").alias("stop"), (F.col("hops") + 1).alias("hops"), F.array_append("_path", F.col("_edge")).alias("_path")))
+    return reduce(DataFrame.unionByName, rounds or [fresh.drop("_path")])
+
+
 def closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """a, b for all b that can be reached from a, a itself only over a circle.
 
