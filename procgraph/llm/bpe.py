@@ -22,6 +22,7 @@ from functools import cache
 import pandas as pd
 import public_tokenizers
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +33,29 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 CACHE = 250_000
 #: Of longer pre-tokens so many first bytes are looked up together.
 HEAD = 6
+#: Characters that tables of Unicode of different ages may class differently.
+FAR = re.compile("[\u0250-\U0010ffff]")
 #: White space that touches white space or an end of the text.
 BLANK_RUN = re.compile(r"\s\s|^\s|\s$")
 
 
+@cache
+def unlike() -> dict[int, str]:
+    """Characters that the library takes for another class than this module's expressions do, with one of the library's class."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    bytes_only = {bytes([i]): i for i in range(256)}
+
+    def found(pattern: str) -> tuple[set[str], set[str]]:
+        library = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=bytes_only, special_tokens={})
+        return set(library.decode(library.encode_ordinary(every))), set(regex.findall(pattern, every))
+
+    out: dict[int, str] = {}
+    for pattern, like in ((r"\p{L}", "a"), (r"\p{N}", "1"), (r"\s", "\xa0")):
+        theirs, ours = found(pattern)
+        out |= {ord(c): "\x01" for c in ours - theirs if ord(c) not in out} | {ord(c): like for c in theirs - ours}
+    return out
+
+
 class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
@@ -63,6 +83,12 @@ class Vocabulary:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}, pattern)
 
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens, with the library's classes of characters."""
+        if text.isascii() or not FAR.search(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(unlike()))]
+
     def halves(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts that the last merge of the token joins; None if merging its bytes doesn't end in the token."""
         if token not in self._halves:
@@ -161,12 +187,12 @@ class Vocabulary:
         there a pre-token starts in any case. What lies between is looked up as a whole.
         """
         if not self.lone_blanks or BLANK_RUN.search(text):
-            return b"".join(map(self._piece, self.pattern.findall(text)))
+            return b"".join(map(self._piece, self.split(text)))
         known, out, lead = self._chunks, [], ""
         for chunk in text.split(" "):
             ids = known.get(chunk if lead else None)
             if ids is None:
-                ids = b"".join(map(self._piece, self.pattern.findall(lead + chunk)))
+                ids = b"".join(map(self._piece, self.split(lead + chunk)))
                 if lead and len(chunk) <= 24:
                     if len(known) > CACHE:
                         known.clear()

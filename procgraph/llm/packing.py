@@ -9,13 +9,14 @@ Pieces then find their places by their rank among the pieces of their length. Ra
 each length, so a length with a third of all pieces isn't ranked in one task.
 
 Defined results: a null text is an empty one: its only token is the end. Documents longer than a sequence are cut, others
-never. Repeated rows are packed one by one. Other columns of the input aren't read. An empty table has no pieces.
+never; very long ones are encoded whole, a word at a time. Rows with null ids, and repeated rows, are packed one by one.
+Other columns of the input aren't read. An empty table has no pieces. A capacity that some piece alone exceeds is an error.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,6 +37,9 @@ from procgraph.llm.common import shuffle_partitions, stored
 CACHE = 800_000
 #: Texts whose unknown words are looked up together.
 TOGETHER = 128
+#: Characters that all tables of Unicode class and lower alike: what isn't here is left to the library.
+PLAIN = "\\x00-\\x1b\\x20-\\x7f\\xa1-\\u012f\\u0131-\\u024f"
+PLAIN_TEXT = re.compile(f"[{PLAIN}]*")
 ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -43,8 +47,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordTokenizer:
     """Token ids of texts by a tokenizer that drops white space, word by word with a dictionary of words.
 
-    A word falls into the parts that the file's pattern gives; the last token of each part, and no other, ends a word. Unknown
-    parts are therefore encoded in one call, and the ids are told apart by those tokens.
+    A plain word falls into the parts that the file's pattern gives; the last token of each part, and no other, ends a word.
+    Unknown parts are therefore encoded in one call, and the ids are told apart by those tokens. Words with any other
+    character are encoded by the library one by one.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,23 +65,29 @@ class WordTokenizer:
         self.parts: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
-        """White space apart; what is done here is what the file's normalizer does."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").replace("İ", "i̇")
-        text = text.lower()
-        return regex.split(r"\s+", text) if any(c in text for c in ODD_SPACES) else text.split()
+        """White space apart; plain words in lower case, others as they are."""
+        if PLAIN_TEXT.fullmatch(text):
+            return text.lower().split()
+        words = re.split(r"[ \t-\r]+", text) if any(c in text for c in ODD_SPACES) else text.split()
+        return [w.lower() if PLAIN_TEXT.fullmatch(w) else w for w in words if w]
+
+    def alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def learn(self, fresh: set[str]) -> None:
-        split = {w: [w] if w.isalpha() else self.pattern.findall(w) for w in fresh}
+        odd = [w for w in fresh if not PLAIN_TEXT.fullmatch(w)]
+        self.known.update(zip(odd, self.alone(odd), strict=True))
+        split = {w: [w] if w.isalpha() else self.pattern.findall(w) for w in fresh.difference(odd)}
         parts = self.parts
         ask = list({p for ps in split.values() for p in ps if p not in parts})
         if ask:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(ask)], add_special_tokens=False)[0].ids, "<u4")
             stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(stop) != len(ask):
-                raise RuntimeError("the tokenizer does not end each part with one token")
-            raw = ids.tobytes()
-            parts.update((p, raw[i:j]) for p, i, j in zip(ask, [0, *stop[:-1].tolist()], stop.tolist(), strict=True))
+            if len(stop) == len(ask):
+                raw = ids.tobytes()
+                parts.update((p, raw[i:j]) for p, i, j in zip(ask, [0, *stop[:-1].tolist()], stop.tolist(), strict=True))
+            else:  # another tokenizer file, whose words don't end in tokens of their own
+                parts.update(zip(ask, self.alone(ask), strict=True))
         self.known.update((w, b"".join([parts[p] for p in ps])) for w, ps in split.items())
 
     def packed_all(self, texts: list) -> Iterator[bytes]:
@@ -180,7 +191,7 @@ def pack(docs: DataFrame, max_tokens: int = 2048, max_docs: int | None = None, m
     pieces = stored(cut(docs, max_tokens, end_id, path).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int")), "pieces")
     sizes = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     counts = {int(r["length"]): int(r["n"]) for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most max_tokens rows
-    places = spark.sparkContext.broadcast(best_fit(counts, (max_tokens, max_docs or max_tokens, max_attention or max_tokens**2), rule=rule))
+    places = spark.sparkContext.broadcast(best_fit(counts, (max_tokens, max_tokens if max_docs is None else max_docs, max_tokens**2 if max_attention is None else max_attention), rule=rule))
     before = sizes.select("length", "part", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     within = F.row_number().over(W.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = pieces.withColumn("within", within).join(before, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("within")).alias("rank"))
