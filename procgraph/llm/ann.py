@@ -1,16 +1,18 @@
 """Approximate nearest neighbours by an inverted file with product-quantised residuals.
 
 Coarse centroids split the vectors into lists; what a vector differs from its centroid by is product-quantised. A query
-probes the lists whose centroids are nearest, ranks their members by asymmetric distance tables, and reranks the best of
-each block exactly, in double precision on the original vectors. Centroids and codebooks are fitted on at most
-``sample_rows`` vectors; every vector is indexed. How many lists are probed and how deep is reranked is set from the same
-sample, so that ``target`` of its exact neighbours are found; at least as many lists are probed as hold ``k`` candidates.
-A list of many members is split into blocks of about ``block`` vectors, so that a hot list is no hot task.
+probes the lists whose centroids are nearest, ranks their members by asymmetric distance tables, and the ``depth`` best of
+all its lists together are reranked exactly, in double precision on the original vectors. The nearest lists are ranked
+first; from the others only what beats the worst of the best so far is passed on. Centroids and codebooks are fitted on at
+most ``sample_rows`` vectors, those with the lowest hashes; every vector is indexed. How many lists are probed and how deep
+is reranked is set from the same sample, so that ``target`` of its exact neighbours are found; at least as many lists are
+probed as hold ``k`` candidates. Small lists share a cell of about ``block`` vectors, a list of many members is split into
+several, so that a hot list is no hot task.
 
 Nearness is the largest inner product; ties go to the smaller id. Defined results: vectors that are null, zero, or hold
 null or non-finite components take no part, nor do those of another dimension than most, nor null ids. If two rows have
 the same id both are candidates. A query never finds its own id. With fewer candidates than k all are returned; an empty
-table gives no rows. Other columns of the input aren't read.
+table gives no rows. Other columns of the input, whatever their names, aren't read; there are no texts.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from procgraph.llm.common import stored
+
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
@@ -61,20 +65,19 @@ class Index:
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Queries by parts by words: inner products of a query's part with the words."""
-        return np.einsum("qmd,mwd->qmw", self.split(q), self.books)
+        return np.matmul(self.split(q).transpose(1, 0, 2), self.books.transpose(0, 2, 1)).transpose(1, 0, 2)
 
-    def estimate(self, q: np.ndarray, codes: np.ndarray, at: int) -> np.ndarray:
-        """Asymmetric inner products of queries with the members of one list."""
-        t = self.tables(q)
+    def estimate(self, q: np.ndarray, tables: np.ndarray, codes: np.ndarray, at: int) -> np.ndarray:
+        """Asymmetric inner products of queries, by their tables, with the members of one list."""
         out = np.repeat((q @ self.centroids[at])[:, None], len(codes), 1)
         for j in range(codes.shape[1]):
-            out += t[:, j, codes[:, j]]
+            out += tables[:, j, codes[:, j]]
         return out
 
 
 def fit(x: np.ndarray, n: int, k: int, target: float, parts: int = 16, words: int = 256, seed: int = 5) -> Index:
     rng = np.random.default_rng(seed)
-    lists = 1 if n <= 1000 else int(np.clip(np.sqrt(n) / 2, 8, min(1024, len(x) // 16)))
+    lists = max(1, int(min(np.sqrt(n), 1024, len(x) // 16)))
     c = kmeans(x, lists, 10, rng)
     d = -(-x.shape[1] // parts)
     ix = Index(c, np.zeros((-(-x.shape[1] // d), 1, d)), lists, 1)
@@ -82,18 +85,20 @@ def fit(x: np.ndarray, n: int, k: int, target: float, parts: int = 16, words: in
     ix.books = np.stack([np.pad(b := kmeans(cut[:, j], words, 8, rng), ((0, words - len(b)), (0, 0)), mode="edge") for j in range(cut.shape[1])])
     some = rng.choice(len(x), min(256, len(x)), replace=False)
     lists_of, codes = ix.encode(x)
+    tables = ix.tables(x[some])
     exact = x[some] @ x.T
     guess = np.empty_like(exact)
     for at in np.unique(lists_of):
-        guess[:, lists_of == at] = ix.estimate(x[some], codes[lists_of == at], at)
+        guess[:, lists_of == at] = ix.estimate(x[some], tables, codes[lists_of == at], at)
     exact[np.arange(len(some)), some] = guess[np.arange(len(some)), some] = -np.inf
-    best = np.argsort(-exact, 1, kind="stable")[:, : min(k, max(len(x) - 1, 1))]
+    like = int(np.ceil(k * min(1.0, len(x) / n)))  # so many of the sample are as near as the k nearest of all
+    best = np.argsort(-exact, 1, kind="stable")[:, : min(like, max(len(x) - 1, 1))]
     place = np.argsort(np.argsort(-(x[some] @ c.T), 1, kind="stable"), 1)
     probe = np.take_along_axis(place, lists_of[best], 1)
     deep = np.take_along_axis(np.argsort(np.argsort(-guess, 1, kind="stable"), 1), best, 1)
-    half = 1 - (1 - target) / 2
-    ix.probes = min(len(c), int(np.quantile(probe, half, method="higher")) + 1)
-    ix.depth = int(max(4 * k, (np.quantile(deep, half, method="higher") + 1) * max(1.0, n / len(x))))
+    slack = 1 - target  # a quarter of it for what reranking misses
+    ix.probes = min(len(c), int(np.quantile(probe, 1 - 0.75 * slack, method="higher")) + 1)
+    ix.depth = int(max(4 * k, (np.quantile(deep, 1 - 0.25 * slack, method="higher") + 1) * max(1.0, n / len(x))))
     return ix
 
 
@@ -104,7 +109,29 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x")).where(F.col("id").isNotNull() & x.isNotNull() & good)
 
 
-def search(vectors: DataFrame, k: int = 20, query_every: int = 20, sample_rows: int = 8192, target: float = 0.97, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def cells(size: np.ndarray, block: int) -> list[list[int]]:
+    """For each list the cells that hold its members: one that it shares with others, or several of its own."""
+    out, n, filled = [], 0, block
+    for members in size.tolist():
+        if members > block:
+            own = -(-members // block)
+            out.append(list(range(n, n + own)))
+            n, filled = n + own, block
+        else:
+            if filled + members > block:
+                n, filled = n + 1, 0
+            filled += members
+            out.append([n - 1])
+    return out
+
+
+def best_of(rows: pd.DataFrame, depth: int) -> pd.DataFrame:
+    """Of each query the depth best estimates, ties to the smaller id."""
+    rows = rows.iloc[np.lexsort((rows["id"], -rows["guess"], rows["qid"]))]
+    return rows[rows.groupby("qid").cumcount() < depth]
+
+
+def search(vectors: DataFrame, k: int = 20, query_every: int = 20, sample_rows: int = 8192, target: float = 0.96, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest of every vector whose id is divisible by query_every."""
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
@@ -114,64 +141,86 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, sample_rows:
         return spark.createDataFrame([], out)
     dim, n = int(dims[0]["d"]), int(dims[0]["n"])
     found = found.where(F.size("x") == dim)
-    share = min(1.0, 1.2 * sample_rows / n)
-    rows = found.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)).limit(sample_rows).collect()  # a bounded sample
-    if not rows:
-        rows = found.limit(sample_rows).collect()
-    sample = np.array([r["x"] for r in sorted(rows, key=lambda r: r["id"])])
+    rows = found.orderBy(F.xxhash64("id", "x"), "id").limit(sample_rows).collect()  # a bounded sample, the same however rows are dealt out
+    sample = np.array([r["x"] for r in sorted(rows, key=lambda r: (r["id"], r["x"]))])
     model = spark.sparkContext.broadcast(fit(sample, n, k, target))  # at most 1024 centroids and 256 words a part
 
     def indexed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in frames:
             if len(p):
                 lists, codes = model.value.encode(np.stack(p["x"].to_numpy()))
-                yield pd.DataFrame({"list": lists, "id": p["id"], "codes": [c.tobytes() for c in codes], "x": p["x"]})
+                yield pd.DataFrame({"list": lists, "id": p["id"], "codes": [c.tobytes() for c in codes]})
 
-    members = found.mapInPandas(indexed, "list int, id long, codes binary, x array<double>")
+    members = found.mapInPandas(indexed, "list int, id long, codes binary")
     sizes = {r["list"]: r["n"] for r in members.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as there are lists
     size = np.array([sizes.get(i, 0) for i in range(len(model.value.centroids))])
-    blocks = np.maximum(1, -(-size // block))
-    split = F.array(*[F.lit(int(b)) for b in blocks])
-    members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.get(split, F.col("list"))).cast("int"))
+    places = cells(size, block)
+    where = F.get(F.array(*[F.array(*[F.lit(c) for c in own]) for own in places]), F.col("list"))
+    members = members.withColumn("cell", F.get(where, F.pmod(F.xxhash64("id"), F.size(where)).cast("int")))
 
     def probing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The lists that a query probes, by cells; first those that come first and hold depth candidates together."""
         for p in frames:
             if not len(p):
                 continue
             q = np.stack(p["x"].to_numpy())
             order = np.argsort(-(q @ model.value.centroids.T), 1, kind="stable")
-            enough = np.cumsum(size[order], 1) > k  # with one more than k, as the query may be among them
+            upto = np.cumsum(size[order], 1)
             ask = []
             for i in range(len(p)):
-                upto = max(model.value.probes, int(enough[i].argmax()) + 1 if enough[i].any() else len(size))
-                ask += [(int(at), b, i) for at in order[i, :upto] if size[at] for b in range(blocks[at])]
+                few, deep = (int((upto[i] <= m).sum()) + 1 for m in (k, model.value.depth))  # one more, as the query may be among them
+                probes = max(model.value.probes, few)
+                for first, lists in ((True, order[i, : min(deep, probes)]), (False, order[i, min(deep, probes) : probes])):
+                    by_cell: dict[int, list[int]] = {}
+                    for at in lists[size[lists] > 0].tolist():
+                        for c in places[at]:
+                            by_cell.setdefault(c, []).append(at)
+                    ask += [(c, first, i, ls) for c, ls in by_cell.items()]
             i = [a[2] for a in ask]
-            yield pd.DataFrame({"list": [a[0] for a in ask], "block": [a[1] for a in ask], "qid": p["id"].to_numpy()[i], "q": p["x"].to_numpy()[i]})
+            yield pd.DataFrame({"cell": [a[0] for a in ask], "first": [a[1] for a in ask], "qid": p["id"].to_numpy()[i], "q": p["x"].to_numpy()[i], "lists": [a[3] for a in ask]})
 
-    asked = found.where(F.col("id") % query_every == 0).mapInPandas(probing, "list int, block int, qid long, q array<double>")
+    queries = found.where(F.col("id") % query_every == 0)
+    asked = queries.mapInPandas(probing, "cell int, first boolean, qid long, q array<double>, lists array<int>")
 
     def near(key: tuple, q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"qid": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "guess": np.zeros(0)})
         if not len(q) or not len(m):
-            return pd.DataFrame(columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        m = m.sort_values("id", kind="stable")
-        ids, x = m["id"].to_numpy(), np.stack(m["x"].to_numpy())
+            return none
+        m = m.sort_values(["list", "id"], kind="stable")
+        ids = m["id"].to_numpy()
         codes = np.frombuffer(b"".join(map(bytes, m["codes"])), np.uint8).reshape(len(m), -1)
-        depth, ix, got = model.value.depth + 1, model.value, []
-        for at in range(0, len(q), 64):
-            qids, qx = q["qid"].to_numpy()[at : at + 64], np.stack(q["q"].to_numpy()[at : at + 64])
-            guess = ix.estimate(qx, codes, int(key[0]))
-            for i in range(len(qx)):
-                top = np.arange(len(ids))
-                if len(ids) > depth:
-                    least = np.partition(guess[i], -depth)[-depth]
-                    over, ties = np.flatnonzero(guess[i] > least), np.flatnonzero(guess[i] == least)
-                    top = np.sort(np.concatenate([over, ties[: depth - len(over)]]))
-                top = top[ids[top] != qids[i]]
-                score = (x[top] * qx[i]).sum(1)
-                best = np.argsort(-score, kind="stable")[:k]
-                got.append(pd.DataFrame({"query_id": qids[i], "vec_id": ids[top[best]], "score": score[best]}))
+        lists, begin = np.unique(m["list"].to_numpy(), return_index=True)
+        end, depth, ix, got = np.append(begin[1:], len(m)), model.value.depth, model.value, [none]
+        for at in range(0, len(q), 256):
+            part = q.iloc[at : at + 256]
+            qids, floor, qx = part["qid"].to_numpy(), part["floor"].to_numpy(), np.stack(part["q"].to_numpy())
+            tables = ix.tables(qx)
+            probes, some = np.stack([np.isin(lists, ls) for ls in part["lists"]]), []
+            for j, (lo, hi) in enumerate(zip(begin, end, strict=True)):
+                who = np.flatnonzero(probes[:, j])
+                if who.size:
+                    guess = ix.estimate(qx[who], tables[who], codes[lo:hi], int(lists[j]))
+                    i, x = np.nonzero((guess >= floor[who, None]) & (ids[None, lo:hi] != qids[who, None]))
+                    some.append((who[i], lo + x, guess[i, x]))
+            if some:
+                i, x, guess = map(np.concatenate, zip(*some, strict=True))
+                got.append(best_of(pd.DataFrame({"qid": qids[i], "id": ids[x], "guess": guess}), depth))
         return pd.concat(got)
 
-    hits = asked.groupBy("list", "block").cogroup(members.groupBy("list", "block")).applyInPandas(near, "query_id long, vec_id long, score double")
+    def scanned(asked: DataFrame) -> DataFrame:
+        return asked.groupBy("cell").cogroup(members.groupBy("cell")).applyInPandas(near, "qid long, id long, guess double")
+
+    def top(rows: DataFrame) -> DataFrame:
+        best = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("guess"), "id"))
+        return rows.withColumn("n", best).where(F.col("n") <= model.value.depth)
+
+    low = F.lit(float("-inf"))
+    early = stored(top(scanned(asked.where("first").withColumn("floor", low))), "nearest")
+    floor = early.where(F.col("n") == model.value.depth).select(F.col("qid").alias("f_qid"), F.col("guess").alias("floor"))
+    late = asked.where("NOT first").join(floor, F.col("qid") == F.col("f_qid"), "left").withColumn("floor", F.coalesce("floor", low)).drop("f_qid")
+    hits = top(early.drop("n").unionByName(scanned(late)).distinct()).select("qid", "id")
+    exact = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    pairs = hits.join(found, "id").join(queries.select(F.col("id").alias("qid"), F.col("x").alias("q")), "qid")
+    scored = pairs.select(F.col("qid").alias("query_id"), F.col("id").alias("vec_id"), exact.alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

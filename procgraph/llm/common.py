@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
+from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -39,20 +41,41 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="procgraph-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = local_dir()
     return where.rstrip("/")
 
 
+@cache
+def local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="procgraph-")
+
+
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame, name: str, *parts: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read again, which cuts lineage."""
+    """df written as a Parquet table in the shared folder and read again, which cuts lineage. It goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*parts) if parts else writer).parquet(path)
+    p, files = hadoop_path(spark, path)
+    files.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the table of a frame that stored() gave, once nothing needs it any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        p, files = hadoop_path(df.sparkSession, folder)
+        files.delete(p, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

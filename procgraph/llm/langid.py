@@ -6,8 +6,8 @@ codeword has the least weighted loss wins. The classifiers are fitted on a bound
 
 Defined results: a null text, an empty one or one without a letter is ``und`` with score 0 and not ambiguous; without
 any labelled row every text is ``und``; with one learned language every text with a letter is that language with score
-1. Equal losses go to the language that comes first in the alphabet. Repeated rows are predicted one by one; other
-columns of the input are not read.
+1. Equal losses go to the language that comes first in the alphabet. Repeated rows are predicted one by one. A very long
+text takes memory in proportion to its length. Other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from procgraph.llm.common import crc_mod, utf8
@@ -67,7 +68,7 @@ class Model:
 
     def losses(self, x: np.ndarray) -> np.ndarray:
         """Rows by languages: the mean logistic loss of the bits against each codeword, weighted by the bits' accuracy."""
-        f = x @ self.weights + self.bias
+        f = np.einsum("if,fb->ib", x, self.weights) + self.bias  # row by row, so that a row is the same in any batch
         w = self.bit_weights / self.bit_weights.sum()
         return (np.logaddexp(0, -f[:, None, :] * self.code[None]) * w).sum(2)
 
@@ -111,24 +112,27 @@ def fit(sample: list[tuple[str, np.ndarray]], steps: int = 300, margin: float =
 
 
 def train(docs: DataFrame, is_train: Column, max_rows: int = 2400, min_rows: int = 20) -> Model:
-    """Fits on at most max(max_rows, min_rows * languages) rows with a language, spread evenly over the languages."""
+    """Fits on at most max(max_rows, min_rows * languages) rows with a language, spread evenly over the languages.
+
+    Of each language those with the lowest hashes of the text are taken, so how rows are dealt out makes no difference.
+    """
     labelled = docs.where(is_train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return fit([])
     each = max(min_rows, max_rows // len(counts))
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.3 * each / n))])
-    picked = labelled.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)).select("lang", "text").limit(int(2 * each * len(counts)))
+    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 2 * each / n))])
+    drawn = F.xxhash64("text")
+    low = labelled.where(F.pmod(drawn, F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)).select("lang", "text", F.pmod(drawn, F.lit(1 << 20)).alias("low"), drawn.alias("hash"))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("low", "hash"))  # equal hashes are equal texts
+    picked = low.withColumn("nth", nth).where(F.col("nth") <= each).select("lang", "text")
 
     def vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             yield pd.DataFrame({"lang": p["lang"], "x": [features(t).astype(np.float16).tobytes() for t in p["text"]]})
 
-    seen: dict[str, list] = {}
-    for r in picked.mapInPandas(vectors, "lang string, x binary").toLocalIterator():
-        if len(got := seen.setdefault(r["lang"], [])) < each:
-            got.append(np.frombuffer(bytes(r["x"]), np.float16).astype(np.float32))
-    return fit(sorted(((k, v) for k, vs in seen.items() for v in vs), key=lambda x: (x[0], x[1].tobytes())))
+    rows = [(r["lang"], np.frombuffer(bytes(r["x"]), np.float16).astype(np.float32)) for r in picked.mapInPandas(vectors, "lang string, x binary").collect()]  # at most `each` a language
+    return fit(sorted(rows, key=lambda x: (x[0], x[1].tobytes())))
 
 
 def predict(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:

@@ -1,10 +1,11 @@
 """License scan by canonical digests.
 
-A text is brought to a canonical form (case, punctuation, copyright lines and equivalent spellings no longer matter),
+A text is brought to a canonical form (case, punctuation, copyright lines, marks of comments and lists, and equivalent
+spellings no longer matter),
 hashed as a whole, and hash-joined to the digests of known licenses brought to the same form.
 
 Defined results: one row for each row of the input, repeated rows included. A null or empty text, or one of which
-nothing is left, has a null digest and no license. If two known licenses have the same digest, the smaller name counts.
+nothing is left, has a null digest and no license. A very long text is hashed whole. Clashing columns aren't read. If two known licenses have the same digest, the smaller name counts.
 Only DataFrame functions run. The known side is joined by broadcast only up to ``broadcast_rows`` licenses, counted.
 """
 
@@ -64,8 +65,12 @@ SPELLINGS = (
     ("wilfull", "wilful"),
 )
 
-#: A line that only states a copyright or reserves rights.
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+#: Marks of comments at the start of a line.
+COMMENT = r"^[ \t]*(?:(?:[#*/;%!>|-]+|dnl|rem|<!--)[ \t]*)*"
+#: A line that only states a copyright, which takes a sign, a year or a place for one after the word, or reserves rights.
+COPYRIGHT_LINE = rf"(?m){COMMENT}(?:(?:portions )?copyright(?: owner| holder)?[ \t]*[:,]?[ \t]*(?:\(c\)|©|&copy;|by[ \t]|[<\[{{{{]|[0-9x]{{4}})|\(c\)[ \t]*(?:copyright|by[ \t]|[<\[{{{{]|[0-9x]{{4}})|©|all rights reserved\.?[ \t*/#]*$)[^\n]*$"
+#: The number, letter or bullet of an item of a list.
+LIST_MARK = rf"(?m){COMMENT}(?:\(?(?:[0-9]{{1,2}}[.)]|(?:[a-z]|[ivx]{{2,4}})\))|[•·o+])[ \t]+"
 
 
 def _spellings() -> list[tuple[str, str]]:
@@ -92,6 +97,7 @@ def canonical_sql(text: str, dialect: str = "spark") -> str:
 
     x = f"replace(replace(lower(coalesce({text}, '')), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
     x = replace(x, COPYRIGHT_LINE, " ")
+    x = replace(x, LIST_MARK, " ")
     x = f"trim({replace(x, '[^a-z0-9]+', ' ')})"
     x = f"concat(' ', replace({x}, ' ', '  '), ' ')"  # every word has its own two spaces
     for a, b in _spellings():

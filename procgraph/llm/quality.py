@@ -2,9 +2,9 @@
 
 Lines are normalised (A-Z lowered, white space and ASCII punctuation to one blank, trimmed) and hashed. For each host
 (``source``; null is a host of its own) the distinct documents that hold a line are counted; exact copies of a text are
-one document there, so that copying a clean text doesn't turn its lines into boilerplate. Lines of more than
-``min_docs`` documents that also exceed ``per_cent`` of the host's documents are removed; a document that keeps less
-than ``keep_per_cent`` of its words is depleted and rejected, as is one that fails the base rules.
+one document there, so that copying a clean text doesn't turn its lines into boilerplate. Lines of more than ``min_docs``
+documents of a host are removed, whatever the size of the host; a document that keeps less than ``keep_per_cent`` of its
+words is depleted and rejected, as is one that fails the base rules.
 
 Defined results: a null or empty text has no words and fails the base; lines of which nothing is left by normalising are
 never removed; repeated rows give one result each; other columns of the input don't matter. Only DataFrame functions run.
@@ -83,12 +83,11 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("host"), F.xxhash64(text).alias("digest"), F.filter(F.transform(F.split(text, "\n"), line), lambda x: x["line"].isNotNull()).alias("lines"))
 
 
-def frequent_lines(rows: DataFrame, min_docs: int = 10, per_cent: int = 10) -> DataFrame:
-    """host and line of the lines above both limits, from line_rows()."""
+def frequent_lines(rows: DataFrame, min_docs: int = 50) -> DataFrame:
+    """host and line of the lines of more than min_docs distinct documents of the host, from line_rows()."""
     texts = rows.select("host", "digest", F.array_distinct(F.transform("lines", lambda x: x["line"])).alias("lines")).groupBy("host", "digest").agg(F.first("lines").alias("lines"))
-    hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     counts = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
-    return counts.where(F.col("docs") > min_docs).join(hosts, "host").where(100 * F.col("docs") > per_cent * F.col("host_docs")).select("host", "line")
+    return counts.where(F.col("docs") > min_docs).select("host", "line")
 
 
 def removals(docs: DataFrame, **limits) -> DataFrame:
@@ -127,7 +126,9 @@ def clean(docs: DataFrame, keep_per_cent: int = 50, **limits) -> DataFrame:
     return out.select(*docs.columns)
 
 
-ORACLE = rf"""
+def oracle(min_docs: int = 50) -> str:
+    """SQL for the rows of assess()."""
+    return rf"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '[{WS}]+'), lambda x: x <> '') AS w,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{WS}]')) AS l FROM d),
@@ -139,9 +140,8 @@ r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, un
 e AS (SELECT doc_id, host, md5(t) AS digest, unnest(string_split(t, chr(10))) AS x FROM d),
 ln AS (SELECT doc_id, host, digest, len(list_filter(regexp_split_to_array(x, '[{WS}]+'), lambda y: y <> '')) AS words,
               trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '{LINE_NOISE}', ' ', 'g')) AS line FROM e),
-hosts AS (SELECT host, count(DISTINCT md5(t)) AS host_docs FROM d GROUP BY host),
 c AS (SELECT host, line, count(DISTINCT digest) AS docs FROM ln WHERE line <> '' GROUP BY host, line),
-fr AS (SELECT host, line FROM c JOIN hosts USING (host) WHERE docs > 10 AND 100 * docs > 10 * host_docs),
+fr AS (SELECT host, line FROM c WHERE docs > {min_docs}),
 g AS (SELECT doc_id, sum(words) AS gone FROM ln JOIN fr USING (host, line) GROUP BY doc_id),
 b AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(gone, 0) AS gone FROM n LEFT JOIN r USING (doc_id) LEFT JOIN g USING (doc_id)),
 o AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
@@ -149,3 +149,6 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, CAST(gone AS BIGINT) AS n_words_removed, NOT base_failed AND NOT 100 * (n_words - gone) < 50 * n_words AS kept
 FROM o
 """
+
+
+ORACLE = oracle()

@@ -276,10 +276,10 @@ def test_quality_lines(spark):
     body = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(40)]
     texts = [b + "\nShared footer, line!" for b in body[:30]] + body[30:] + ["Shared  footer line\n" + body[0][:200]] * 3
     docs = make(spark, texts, sources=["h"] * 43)
-    got = {r["doc_id"]: r for r in quality.assess(docs).collect()}
+    got = {r["doc_id"]: r for r in quality.assess(docs, min_docs=10).collect()}
     assert got[0]["n_words_removed"] == 3 and got[0]["kept"] and got[35]["n_words_removed"] == 0
     assert not got[41]["kept"] and got[41]["base_failed"]
-    kept = {r["doc_id"]: r for r in quality.clean(docs).collect()}
+    kept = {r["doc_id"]: r for r in quality.clean(docs, min_docs=10).collect()}
     assert set(kept) == {i for i in got if got[i]["kept"]} and kept[0]["text"] == body[0] and kept[0]["n_chars"] == len(body[0]) and kept[35]["text"] == texts[35]
 
 
