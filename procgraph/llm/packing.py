@@ -142,15 +142,19 @@ class Places:
     n_sequences: int
 
 
-def best_fit(counts: dict[int, int], capacity: tuple[int, int, int], weights: tuple[float, float, float] = (1.0, 0.01, 0.1), rule: str = "dot") -> Places:
-    """Packs so many pieces of each length. rule: dot (largest weighted dot product) or norm (least weighted norm left)."""
+def best_fit(counts: dict[int, int], capacity: tuple[int, int, int], weights: tuple[float, float, float] | None = None, rule: str = "dot") -> Places:
+    """Packs so many pieces of each length. rule: dot (largest weighted dot product) or norm (least weighted norm left).
+
+    By default a capacity weighs what all pieces together need of it, so that the scarce one decides.
+    """
     lengths = np.array(sorted(counts), np.int64)
     left = np.array([counts[x] for x in lengths.tolist()], np.int64)
     cap = np.array(capacity, np.int64)
     need = np.stack([lengths, np.ones_like(lengths), lengths**2], 1)
     if len(lengths) and (need > cap).any():
         raise ValueError("a piece is larger than a sequence")
-    w, share = np.array(weights), need / cap
+    share = need / cap
+    w = np.array(weights) if weights else left @ share / max(float((left @ share).max(initial=0)), 1e-300)
     rows: dict[int, list[tuple[int, int, int, int]]] = {x: [] for x in lengths.tolist()}
     used, n_seq = np.zeros_like(left), 0
     while (alive := np.flatnonzero(left)).size:
