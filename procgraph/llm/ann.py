@@ -75,7 +75,7 @@ class Index:
         return out
 
 
-def fit(x: np.ndarray, n: int, k: int, target: float, parts: int = 16, words: int = 256, seed: int = 5) -> Index:
+def fit(x: np.ndarray, n: int, k: int, target: float, parts: int = 32, words: int = 256, seed: int = 5) -> Index:
     rng = np.random.default_rng(seed)
     lists = max(1, int(min(np.sqrt(n), 1024, len(x) // 16)))
     c = kmeans(x, lists, 10, rng)
@@ -98,7 +98,7 @@ def fit(x: np.ndarray, n: int, k: int, target: float, parts: int = 16, words: in
     deep = np.take_along_axis(np.argsort(np.argsort(-guess, 1, kind="stable"), 1), best, 1)
     slack = 1 - target  # a quarter of it for what reranking misses
     ix.probes = min(len(c), int(np.quantile(probe, 1 - 0.75 * slack, method="higher")) + 1)
-    ix.depth = int(max(4 * k, (np.quantile(deep, 1 - 0.25 * slack, method="higher") + 1) * max(1.0, n / len(x))))
+    ix.depth = int(k * max(4, np.ceil((np.quantile(deep, 1 - 0.25 * slack, method="higher") + 1) / like)))
     return ix
 
 
@@ -159,7 +159,7 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, sample_rows:
     members = members.withColumn("cell", F.get(where, F.pmod(F.xxhash64("id"), F.size(where)).cast("int")))
 
     def probing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The lists that a query probes, by cells; first those that come first and hold depth candidates together."""
+        """The lists that a query probes, by cells; first those that come first and hold several times depth candidates together."""
         for p in frames:
             if not len(p):
                 continue
@@ -168,7 +168,7 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, sample_rows:
             upto = np.cumsum(size[order], 1)
             ask = []
             for i in range(len(p)):
-                few, deep = (int((upto[i] <= m).sum()) + 1 for m in (k, model.value.depth))  # one more, as the query may be among them
+                few, deep = (int((upto[i] <= m).sum()) + 1 for m in (k, 10 * model.value.depth))  # one more, as the query may be among them
                 probes = max(model.value.probes, few)
                 for first, lists in ((True, order[i, : min(deep, probes)]), (False, order[i, min(deep, probes) : probes])):
                     by_cell: dict[int, list[int]] = {}
