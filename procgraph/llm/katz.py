@@ -8,7 +8,7 @@ bigram was seen, else the backoff weight of the context plus, recursively, the l
 an unseen token. Where there is nothing to discount (no or odd counts of counts, or a context with frequent tokens only) an
 absolute discount, or one added count, leaves mass for the rest.
 
-Layout: tokens are 64-bit hashes of lower-cased words. Tables: unigrams (in parts by ranges of the hash: hashes and
+Layout of order 2: tokens are 64-bit hashes of lower-cased words. Tables: unigrams (in parts by ranges of the hash: hashes and
 counts) and bigrams (in parts by context: ids and counts). Documents lie in blocks by a hash; a block asks each part for the
 ids and counts of its words, sends the distinct bigrams with their places to the parts by context, and gets back sums of
 log probabilities for each document. Counting is done within a block before anything is shuffled. Contexts with more than
@@ -16,7 +16,8 @@ one part's share of all tokens are split by the next word; their totals, at most
 driver.
 
 Defined results: a null or empty text is its end alone. Rows are scored one by one, repeated ones too; a null id counts as
-the empty text in choosing the fold. Without training rows every token has probability one. Other columns aren't read.
+the empty text in choosing the fold. Without training rows every token has probability one. A very long text is a block by
+itself. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from procgraph.llm import ngrams
 from procgraph.llm.blobs import BLOCK, dec, dec_all, enc
 from procgraph.llm.common import crc_mod, mix64, shuffle_partitions, stored, utf8
 
@@ -39,6 +42,8 @@ LOWER[65:91] += 32
 VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[LOWER]
 STEP = 0xD6E8FEB86659FD93
 START, UNKNOWN, END = -2, -1, -3
+#: Bytes of a word beyond which another hash is taken.
+LONG = 256
 END_HASH = np.uint64(0xFFFFFFFFFFFFFFFF)
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -66,6 +71,8 @@ def tokens(texts: Iterable) -> tuple[np.ndarray, np.ndarray]:
     up, down = powers(len(data))
     total = np.append(np.uint64(0), np.cumsum(VALUES[data] * up[: len(data)]))
     h = mix64((total[stop] - total[begin]) * down[begin] + (stop - begin).astype(np.uint64))
+    for i in np.flatnonzero(stop - begin > LONG):  # for long words with a pattern a polynomial isn't safe
+        h[i] = xxhash.xxh64_intdigest(data[begin[i] : stop[i]].tobytes().lower(), 11)
     h[h == END_HASH] = np.uint64(0)
     ends = np.cumsum([len(r) + 1 for r in raw]) if raw else np.zeros(0, np.int64)
     count = np.diff(np.searchsorted(begin, ends), prepend=0) + 1 if raw else np.zeros(0, np.int64)
@@ -332,19 +339,24 @@ def finish(p: pd.DataFrame, total: int) -> pd.DataFrame:
     )
 
 
-def score(docs: DataFrame, held_out: Column | None = None, block_bytes: int = 3 << 20) -> DataFrame:
-    """Learns from the rows that aren't held out (crc32 of the id modulo 5 is 1) and scores all rows."""
-    spark = docs.sparkSession
-    parts = 2 * shuffle_partitions(spark)
+def score(docs: DataFrame, held_out: Column | None = None, block_bytes: int = 3 << 20, order: int = 2, part_bytes: int = 8 << 20) -> DataFrame:
+    """Learns from the rows that aren't held out (crc32 of the id modulo 5 is 1) and scores all rows.
+
+    Other orders than 2 go by the tables of the module ngrams, which need more disk.
+    """
     held = held_out if held_out is not None else crc_mod("doc_id", 5) == 1
+    if order != 2:
+        return ngrams.score(docs, held, order)
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
     size = rows.agg(F.sum(F.octet_length("text")).alias("s"), F.count(F.when(~F.col("held_out"), 1)).alias("n")).first()
     n_blocks = int((size["s"] or 0) // block_bytes) + 1
+    parts = int((size["s"] or 0) // part_bytes) + 1  # a part is as large in any corpus
     unigrams = stored(unigram_table(rows.where(~F.col("held_out")), parts), "unigrams")
     stats = unigrams.agg(F.sum("n_types").alias("v"), F.sum("n_tokens").alias("n"), *[F.sum(F.get("n_counts", F.lit(r))).alias(f"n{r}") for r in range(7)]).first()
     uni = Unigrams.of(stats["n"] or 0, stats["v"] or 0, size["n"], np.array([stats[f"n{r}"] or 0 for r in range(7)]))
     texts = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
-    sent = entries(texts, unigrams, uni, parts).repartition(shuffle_partitions(spark), "part").rdd  # its shuffle is read twice
+    sent = entries(texts, unigrams, uni, parts).repartition(max(shuffle_partitions(spark), parts // 2), "part").rdd  # its shuffle is read twice
     bigrams = stored(spark.createDataFrame(sent.mapPartitions(lambda r: count_parts(r, uni)), TABLE), "bigrams")
     n2 = bigrams.agg(*[F.sum(F.get("n_counts", F.lit(r))).alias(f"n{r}") for r in range(7)]).first()
     d = discounts(np.array([n2[f"n{r}"] or 0 for r in range(7)]))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from procgraph.llm.blobs import Block, blocks, dec, dec_all, enc, ranges
-from procgraph.llm.common import mix64, shuffle_partitions, utf8
+from procgraph.llm.common import mix64, utf8
 
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -179,10 +179,11 @@ def doc_rows(doc: np.ndarray, *cols: np.ndarray) -> Iterator[tuple]:
         yield (int(doc[lo]), *(c[lo:hi] for c in cols))
 
 
-def flagged_docs(docs: DataFrame, length: int) -> DataFrame:
+def flagged_docs(docs: DataFrame, length: int, bucket_bytes: int = 4 << 20) -> DataFrame:
     """f_id, low, count: blobs of where removed strings start in a document; several rows for a document."""
     spark = docs.sparkSession
-    parts = 4 * shuffle_partitions(spark)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
+    parts = int(size // bucket_bytes) + 1  # a bucket is as large in any corpus
     cols = "bucket int, kind int, id long, a binary, b binary, c binary"
     frame = lambda rows: pd.DataFrame(rows, columns=["bucket", "kind", "id", "a", "b", "c"])
 
