@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,40 +14,36 @@ from procgraph.functions.text import strip
 
 def json_part(x: Column) -> Column:
     """What stands in a fenced block, else from the first brace to the last; the text itself if there is neither."""
-    fenced = F.regexp_extract(x, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    fenced = F.regexp_extract(x, r"(?si)```(?:json)?\s*(.*?)```", 1)
     braces = F.regexp_extract(x, r"(?s)(\{.*\})", 1)
     return strip(F.when(fenced != "", fenced).when(braces != "", braces).otherwise(x))
 
 
 def repaired(text: str | None) -> str | None:
-    """Valid JSON from text that was cut off or has raw control characters; null if that fails.
+    """Valid JSON from text that has raw white space in strings, other text around it, or was cut off; null if that fails.
 
-    Tried in turn: as it is; with control characters as blanks; up to the last place where all brackets are closed; with
-    what is open closed.
+    Tried in turn: as it is; with runs of white space as one blank; from the first brace to where its object last closes;
+    from there with the open brackets closed, unless a string is open.
     """
     if text is None:
         return None
-    plain = "".join(" " if ord(c) < 32 else c for c in text)
+    plain = re.sub(r"\s{2,}", " ", re.sub(r"[\r\n\t]+", " ", text)).strip()
+    tries = [text, plain]
     for t in (text, plain):
-        try:
-            return json.dumps(json.loads(t), ensure_ascii=False, sort_keys=True)
-        except ValueError:
-            pass
-    stack: list[str] = []
-    quoted = escaped = False
-    whole = 0
-    for i, c in enumerate(plain):
-        if quoted:
-            escaped, quoted = (c == "\\" and not escaped), quoted if escaped or c != '"' else False
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            stack.append("}" if c == "{" else "]")
-        elif c in "}]" and stack and stack[-1] == c:
-            stack.pop()
-            whole = whole if stack else i + 1
-    closed = plain + ('"' if quoted else "")
-    for t in (plain[:whole], closed.rstrip().rstrip(",") + "".join(reversed(stack)), closed.rstrip() + "null" + "".join(reversed(stack))):
+        t = t[t.find("{") :] if "{" in t else ""
+        stack, quoted, escaped, whole = [], False, False, 0
+        for i, c in enumerate(t):
+            if quoted:
+                quoted, escaped = c != '"' or escaped, c == "\\" and not escaped
+            elif c == '"':
+                quoted = True
+            elif c in "{[":
+                stack.append("}" if c == "{" else "]")
+            elif stack and c == stack[-1]:
+                stack.pop()
+                whole = whole if stack else i + 1
+        tries += [t[:whole]] if whole else [] if quoted else [t + "".join(reversed(stack))]
+    for t in tries:
         try:
             return json.dumps(json.loads(t), ensure_ascii=False, sort_keys=True)
         except ValueError:

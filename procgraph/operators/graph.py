@@ -5,6 +5,7 @@ Upserts keep one row for a key; edges need both ends. Every operator but paths,
 
 from __future__ import annotations
 
+import re
 import tempfile
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -67,11 +68,14 @@ class PropertyGraph:
         return self.edges.where(F.col("rel") == name)
 
 
-def successors(tasks: DataFrame) -> DataFrame:
-    """NEXT edges between tasks that follow each other in their process. tasks: process_id, task_id, order, seq."""
+def successors(tasks: DataFrame, *keep: str) -> DataFrame:
+    """NEXT edges between tasks that follow each other in their process: process_id, rel, src, dst, condition.
+
+    tasks: process_id, task_id, order, seq. keep: further columns, taken from the earlier task, as src_<name>.
+    """
     w = W.partitionBy("process_id").orderBy(F.asc_nulls_last("order"), "seq")
-    pairs = tasks.select("process_id", F.col("task_id").alias("src"), F.lead("task_id").over(w).alias("dst"))
-    return pairs.where("dst IS NOT NULL").select(F.lit("NEXT").alias("rel"), "src", "dst", F.lit("").alias("condition"))
+    pairs = tasks.select("process_id", F.col("task_id").alias("src"), F.lead("task_id").over(w).alias("dst"), *[F.col(c).alias(f"src_{c}") for c in keep])
+    return pairs.where("dst IS NOT NULL").select("process_id", F.lit("NEXT").alias("rel"), "src", "dst", F.lit("").alias("condition"), *[f"src_{c}" for c in keep])
 
 
 def grouped_names(edges: DataFrame, key: str, other: str, names: DataFrame, out: str) -> DataFrame:
@@ -118,10 +122,13 @@ def node_stats(counted: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFram
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder of the session, which executors share; a temporary one only where none is set."""
+    """df written to the checkpoint folder of the session, which executors share; a temporary one only for a local master."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="procgraph-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="procgraph-"))
     return df.checkpoint()
 
 
@@ -155,13 +162,16 @@ def closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
 
 
 def predecessors(activities: DataFrame, edges: DataFrame) -> DataFrame:
-    """activity, predecessor: activities from which another can be reached; without any edge all earlier ones by seq.
+    """process_id, activity, predecessor: activities from which another of the same process can be reached.
 
+    Ids may occur again in other processes. In a process without any edge all earlier activities by seq are predecessors.
     activities: process_id, id, seq. edges: process_id, src, dst; what lies between may be gateways or events.
     """
-    reach = closure(edges)
+    node = lambda c: F.struct("process_id", F.col(c).alias("id"))
+    reach = closure(edges.select(node("src").alias("src"), node("dst").alias("dst"))).select(F.col("a.process_id").alias("process_id"), F.col("a.id").alias("predecessor"), F.col("b.id").alias("activity"))
     ids = activities.select("process_id", "id", "seq")
-    found = reach.join(ids.select(F.col("id").alias("b")), "b", "left_semi").join(ids.select(F.col("id").alias("a")), "a", "left_semi").where("a <> b")
+    found = reach.join(ids.select("process_id", F.col("id").alias("activity")), ["process_id", "activity"], "left_semi").join(ids.select("process_id", F.col("id").alias("predecessor")), ["process_id", "predecessor"], "left_semi").where("activity <> predecessor")
     bare = ids.join(edges.select("process_id").distinct(), "process_id", "left_anti")
-    earlier = bare.alias("x").join(bare.alias("y"), (F.col("x.process_id") == F.col("y.process_id")) & (F.col("y.seq") < F.col("x.seq"))).select(F.col("x.id").alias("activity"), F.col("y.id").alias("predecessor"))
-    return found.select(F.col("b").alias("activity"), F.col("a").alias("predecessor")).unionByName(earlier)
+    earlier = bare.alias("x").join(bare.alias("y"), (F.col("x.process_id") == F.col("y.process_id")) & (F.col("y.seq") < F.col("x.seq")))
+    earlier = earlier.select(F.col("x.process_id").alias("process_id"), F.col("x.id").alias("activity"), F.col("y.id").alias("predecessor"))
+    return found.select("process_id", "activity", "predecessor").unionByName(earlier)

@@ -83,12 +83,17 @@ def layers(ids: list, edges: list) -> dict:
 
 
 def layered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """process_id, id, layer, x, y. nodes: process_id, id, lane, seq. edges: process_id, src, dst."""
+    """process_id, id, layer, x, y. nodes: process_id, id, lane, seq. edges: process_id, src, dst.
+
+    Edges count in the order of what they lead from and to, so how rows arrive makes no difference.
+    """
 
     def run(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         n = n.sort_values(["seq", "id"])
         ids = n["id"].tolist()
-        layer = layers(ids, [(a, b) for a, b in zip(e["src"], e["dst"], strict=True) if a in set(ids) and b in set(ids)])
+        at = {i: k for k, i in enumerate(ids)}
+        known = {(a, b) for a, b in zip(e["src"], e["dst"], strict=True) if a in at and b in at}
+        layer = layers(ids, sorted(known, key=lambda x: (at[x[0]], at[x[1]])))
         n = n.assign(layer=[layer[i] for i in ids])
         full = n.groupby(["lane", "layer"]).size().groupby("lane").max()
         left = (full * STEP_X).cumsum().shift(fill_value=0)
@@ -109,21 +114,28 @@ def simplify(points: list) -> list:
     return out + points[-1:] if len(points) > 1 else out
 
 
-def route(start: tuple, goal: tuple, boxes: list, most: int = 4000) -> list:
-    """Way of horizontal and vertical steps on the grid round boxes, with few turns; an L if none is found."""
+def route(start: tuple, goal: tuple, boxes: list, most: int = 1000, beam: int = 100) -> list:
+    """Way of horizontal and vertical steps on the grid round boxes, with few turns; an L if none is found.
+
+    Beyond ``most`` open ways the ``beam`` best go on. The way stays within five steps of all that there is.
+    """
     snap = lambda p: (round(p[0] / GRID) * GRID, round(p[1] / GRID) * GRID)
     a, b = snap(start), snap(goal)
     blocked = lambda p: any(x < p[0] < x + w and y < p[1] < y + h for x, y, w, h in boxes)
-    heap, best, n = [(0, 0, a, (0, 0), (a,))], {}, 0
-    while heap and n < most:
+    xs = [a[0], b[0], *(v for x, _, w, _ in boxes for v in (x, x + w))]
+    ys = [a[1], b[1], *(v for _, y, _, h in boxes for v in (y, y + h))]
+    left, right, top, bottom = min(xs) - 5 * GRID, max(xs) + 5 * GRID, min(ys) - 5 * GRID, max(ys) + 5 * GRID
+    heap, best = [(0, 0, a, (0, 0), (a,))], {}
+    while heap:
+        if len(heap) > most:
+            heap = heapq.nsmallest(beam, heap)
         _, turns, p, way, path = heapq.heappop(heap)
-        n += 1
         if p == b:
             return simplify([start, *path, goal])
         for d in ((GRID, 0), (-GRID, 0), (0, GRID), (0, -GRID)):
             q = (p[0] + d[0], p[1] + d[1])
             t = turns + (way not in ((0, 0), d))
-            if (blocked(q) and q != b) or best.get((q, d), (1 << 30, 0)) <= (t, len(path)):
+            if not (left <= q[0] <= right and top <= q[1] <= bottom) or (blocked(q) and q != b) or best.get((q, d), (1 << 30, 0)) <= (t, len(path)):
                 continue
             best[q, d] = (t, len(path))
             far = abs(q[0] - b[0]) + abs(q[1] - b[1])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from procgraph.functions.text import coerce, or_else, snake_id, strip
+from procgraph.operators.graph import checkpointed
 
 
 def normal_ids(elements: DataFrame) -> DataFrame:
@@ -79,11 +82,10 @@ def collapse_gateways(gateways: DataFrame, flows: DataFrame) -> DataFrame:
     out = flows.groupBy("process_id", F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("to"))
     weak = gateways.select("process_id", "id").join(out, ["process_id", "id"], "left").where("coalesce(n, 0) < 2").select("process_id", "id", "to")
     ids = weak.select("process_id", "id")
-    rest = flows.join(ids.withColumnRenamed("id", "src"), ["process_id", "src"], "left_anti").join(ids.withColumnRenamed("id", "dst"), ["process_id", "dst"], "left_anti")
-    into = flows.join(weak.withColumnRenamed("id", "dst"), ["process_id", "dst"]).where("to IS NOT NULL")
-    bridged = into.select("process_id", "src", F.col("to").alias("dst")).where("src <> dst")
-    bridged = bridged.join(ids.withColumnRenamed("id", "src"), ["process_id", "src"], "left_anti").join(ids.withColumnRenamed("id", "dst"), ["process_id", "dst"], "left_anti")
-    return rest.select("process_id", "src", "dst").unionByName(bridged).distinct()
+    kept = flows.select("process_id", "src", "dst").join(ids.withColumnRenamed("id", "src"), ["process_id", "src"], "left_anti")
+    led = kept.join(weak.select("process_id", F.col("id").alias("dst"), "to", F.lit(True).alias("gone")), ["process_id", "dst"], "left")
+    led = led.select("process_id", "src", F.when(F.col("gone"), F.col("to")).otherwise(F.col("dst")).alias("dst"), "gone").where("dst IS NOT NULL AND (gone IS NULL OR src <> dst)")
+    return led.join(ids.withColumnRenamed("id", "dst"), ["process_id", "dst"], "left_anti").select("process_id", "src", "dst").distinct()
 
 
 def branch_names(gateways: DataFrame, flows: DataFrame, word: str = "조건") -> DataFrame:
@@ -103,15 +105,16 @@ def start_end(nodes: DataFrame) -> DataFrame:
 
 
 def input_refs(predecessors: DataFrame, fields: DataFrame, chosen: DataFrame, most: int = 60) -> DataFrame:
-    """activity, refs: of the form fields of an activity's predecessors those chosen for it, all of them if none is; sorted.
+    """process_id, activity, refs: of the form fields of an activity's predecessors those chosen for it, else all; sorted.
 
-    predecessors: activity, predecessor. fields: activity, ref. chosen: activity, ref.
+    predecessors: process_id, activity, predecessor. fields: process_id, activity, ref. chosen: process_id, activity, ref.
     """
-    allowed = predecessors.join(fields.select(F.col("activity").alias("predecessor"), "ref"), "predecessor").groupBy("activity").agg(F.array_sort(F.collect_set("ref")).alias("allowed"))
-    asked = chosen.groupBy("activity").agg(F.array_sort(F.collect_set("ref")).alias("asked"))
+    key = ["process_id", "activity"]
+    allowed = predecessors.join(fields.select("process_id", F.col("activity").alias("predecessor"), "ref"), ["process_id", "predecessor"]).groupBy(*key).agg(F.array_sort(F.collect_set("ref")).alias("allowed"))
+    asked = chosen.groupBy(*key).agg(F.array_sort(F.collect_set("ref")).alias("asked"))
     both = F.array_intersect("allowed", F.coalesce("asked", F.array().cast("array<string>")))
     refs = F.slice(F.when(F.size(both) > 0, both).otherwise(F.col("allowed")), 1, most)
-    return allowed.join(asked, "activity", "left").select("activity", refs.alias("refs"))
+    return allowed.join(asked, key, "left").select(*key, refs.alias("refs"))
 
 
 def process_tree(tree: DataFrame, fresh: DataFrame, group: str = "미분류") -> DataFrame:
@@ -120,14 +123,16 @@ def process_tree(tree: DataFrame, fresh: DataFrame, group: str = "미분류") ->
     return tree.select("mega", "major", "id", "name").unionByName(added.select(F.lit(group).alias("mega"), F.lit(group).alias("major"), "id", "name"))
 
 
-def org_members(nodes: DataFrame, most_depth: int = 50) -> DataFrame:
-    """team, member: people of an org chart under their closest team. nodes: id, parent_id, is_team."""
-    spark = nodes.sparkSession
-    nodes.select("id", "parent_id", "is_team").createOrReplaceTempView("_pg_org")
-    return spark.sql(f"""
-      WITH RECURSIVE t(id, team, is_team, depth) AS (
-        SELECT id, CASE WHEN is_team THEN id END, is_team, 0 FROM _pg_org WHERE parent_id IS NULL
-        UNION ALL
-        SELECT n.id, CASE WHEN n.is_team THEN n.id ELSE t.team END, n.is_team, t.depth + 1
-        FROM _pg_org n JOIN t ON n.parent_id = t.id WHERE t.depth < {most_depth})
-      SELECT team, id AS member FROM t WHERE NOT is_team AND team IS NOT NULL""")
+def org_members(nodes: DataFrame) -> DataFrame:
+    """team, member: people of an org chart under their closest team, however deep. nodes: id, parent_id, is_team.
+
+    A round a level, until no node has a parent in it; nodes of a circle, which no root leads to, are under no team.
+    """
+    level = checkpointed(nodes.where("parent_id IS NULL").select("id", F.when(F.col("is_team"), F.col("id")).alias("team"), "is_team"))
+    rest = nodes.where("parent_id IS NOT NULL").select("id", "parent_id", "is_team")
+    found = []
+    while not level.isEmpty():
+        found.append(level.where("NOT is_team AND team IS NOT NULL").select("team", F.col("id").alias("member")))
+        above = level.select(F.col("id").alias("parent_id"), F.col("team").alias("up"))
+        level = checkpointed(rest.join(above, "parent_id").select("id", F.when(F.col("is_team"), F.col("id")).otherwise(F.col("up")).alias("team"), "is_team"))
+    return reduce(DataFrame.unionByName, found or [nodes.where("false").select(F.col("id").alias("team"), F.col("id").alias("member"))])

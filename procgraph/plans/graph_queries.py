@@ -117,7 +117,7 @@ def graph_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT process_id, src, dst FROM nx", "conv", "nx")
 def next_edges_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = conversations(spark, sf_dir)
-    return graph.successors(tasks).join(tasks.select("process_id", F.col("task_id").alias("src")), "src").select("process_id", "src", "dst")
+    return graph.successors(tasks).select("process_id", "src", "dst")
 
 
 @query(
@@ -135,12 +135,12 @@ def start_end_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def conditional_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = order_lines(spark, sf_dir)
-    flows = graph.successors(tasks).drop("condition").join(tasks.select(F.col("task_id").alias("src"), "condition"), "src")
+    flows = graph.successors(tasks).drop("condition").join(tasks.select("process_id", F.col("task_id").alias("src"), "condition"), ["process_id", "src"])
     return flows.where(or_else("condition", "") != "").select(flow_id("src", "dst").alias("flow_id"), "condition")
 
 
 @query(
-    """, p(start, stop, hops) AS (SELECT src, dst, 1 FROM nx UNION ALL SELECT p.start, nx.dst, p.hops + 1 FROM p JOIN nx ON nx.src = p.stop WHERE p.hops < 100) SELECT start, stop, hops FROM p""",
+    """, p(start, stop, hops) AS (SELECT src, dst, 1 FROM nx UNION ALL SELECT p.start, nx.dst, p.hops + 1 FROM p JOIN nx ON nx.src = p.stop ) SELECT start, stop, hops FROM p""",
     "conv",
     "nx",
 )
@@ -149,7 +149,7 @@ def path_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """, p(start, stop, hops) AS (SELECT src, dst, 1 FROM nx UNION ALL SELECT p.start, nx.dst, p.hops + 1 FROM p JOIN nx ON nx.src = p.stop WHERE p.hops < 100) SELECT start, stop, hops FROM p ORDER BY hops DESC, start, stop LIMIT 5""",
+    """, p(start, stop, hops) AS (SELECT src, dst, 1 FROM nx UNION ALL SELECT p.start, nx.dst, p.hops + 1 FROM p JOIN nx ON nx.src = p.stop ) SELECT start, stop, hops FROM p ORDER BY hops DESC, start, stop LIMIT 5""",
     "conv",
     "nx",
 )
@@ -161,7 +161,7 @@ def longest_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predecessor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = conversations(spark, sf_dir)
     edges = next_edges_lead(spark, sf_dir)
-    return graph.predecessors(tasks.select("process_id", F.col("task_id").alias("id"), "seq"), edges)
+    return graph.predecessors(tasks.select("process_id", F.col("task_id").alias("id"), "seq"), edges).select("activity", "predecessor")
 
 
 @query("SELECT process_id, task_id AS id, (140 + 150 * (row_number() OVER (PARTITION BY process_id ORDER BY seq, task_id) - 1))::INT AS x, 20 + 120 * CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS y FROM conv", "conv")
@@ -215,9 +215,8 @@ def pool_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _flows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Events of users with flows between every other pair of neighbours."""
     nodes = user_events(spark, sf_dir)
-    chain = graph.successors(nodes.select("process_id", F.col("id").alias("task_id"), F.col("seq").alias("order"), "seq"))
-    flows = chain.join(nodes.select("process_id", "seq", F.col("id").alias("src")), "src").where(F.col("seq") % 2 == 0).select("process_id", "src", "dst")
-    return nodes, flows
+    chain = graph.successors(nodes.select("process_id", F.col("id").alias("task_id"), F.col("seq").alias("order"), "seq"), "seq")
+    return nodes, chain.where(F.col("src_seq") % 2 == 0).select("process_id", "src", "dst")
 
 
 @query("SELECT enx.process_id, src, dst, seq % 2 = 1 AS made FROM enx JOIN ev ON ev.id = enx.src", "ev", "enx")
@@ -234,8 +233,8 @@ def connectivity_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     "enx",
 )
 def gateway_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = user_events(spark, sf_dir)
-    flows = model.repair(nodes, _flows(spark, sf_dir)[1]).select("process_id", "src", "dst")
+    nodes, flows = _flows(spark, sf_dir)
+    flows = graph.checkpointed(model.repair(nodes, flows).select("process_id", "src", "dst"))  # used four times
     return model.collapse_gateways(nodes.where("kind = 'gateway'").select("process_id", "id"), flows)
 
 

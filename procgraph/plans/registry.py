@@ -11,7 +11,7 @@ ORACLE: dict[str, str] = {}
 
 #: The mappings of procgraph.sources.tables in SQL.
 CTE = {
-    "conv": "conv AS (SELECT 'p' || conv_id AS process_id, 't_' || conv_id || '_' || turn AS task_id, turn::INT AS ord, turn AS seq, role, text, left(text, 40) AS name FROM conversations)",
+    "conv": "conv AS (SELECT 'p' || conv_id AS process_id, 't_' || conv_id || '_' || turn AS task_id, turn::INT AS ord, turn AS seq, role, text, coalesce(text, '') AS name FROM conversations)",
     "li": "li AS (SELECT 'o' || l_orderkey AS process_id, l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS task_id, l_linenumber AS ord, l_partkey * 100000 + l_suppkey AS seq, 's' || l_suppkey AS role_id, l_returnflag || l_linestatus AS decision_id, l_returnflag AS condition FROM lineitem)",
     "ev": "ev AS (SELECT 'u' || user_id AS process_id, 'e' || event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, CASE WHEN event_type = 'error' THEN 'gateway' ELSE 'task' END AS kind, event_type, value, props FROM events)",
     "nx": "nx AS (SELECT process_id, task_id AS src, dst FROM (SELECT process_id, task_id, lead(task_id) OVER (PARTITION BY process_id ORDER BY ord NULLS LAST, seq) AS dst FROM conv) WHERE dst IS NOT NULL)",

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from procgraph.functions import jsonx, similarity, text
-from procgraph.operators import merge, model, render, resolve, sections
+from procgraph.operators import graph, merge, model, render, resolve, sections
 from procgraph.operators.graph import successors
 from procgraph.plans.registry import query
 from procgraph.sources import files
@@ -73,8 +73,7 @@ def merge_similar_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def char_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    pairs = n.alias("x").join(n.alias("y"), F.col("x.name") < F.col("y.name")).select(F.col("x.name").alias("a"), F.col("y.name").alias("b"))
-    return pairs.withColumn("similarity", F.round(similarity.char_jaccard(F.col("a"), F.col("b")), 9)).where("similarity > 0.6")
+    return resolve.jaccard_pairs(n).withColumn("similarity", F.round("similarity", 9))
 
 
 @query(
@@ -83,7 +82,7 @@ def char_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def core_word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    pairs = n.alias("x").join(n.alias("y"), F.col("x.name") < F.col("y.name")).select(F.col("x.name").alias("a"), F.col("y.name").alias("b"))
+    pairs = resolve.token_blocks(n.withColumn("id", F.col("name"))).select("a", "b")  # one word in common at least
     parted = lambda c: F.replace(F.col(c), F.lit(" "), F.lit("및"))
     return pairs.where(similarity.core_words_agree(parted("a"), parted("b")))
 
@@ -115,7 +114,7 @@ def infer_role_contains_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def endpoint_resolution_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    distinct = lambda c: p.select(F.col(c).alias("name")).distinct().select(F.col("name").alias("id"), "name", F.row_number().over(W.orderBy("name")).cast("long").alias("seq"))
+    distinct = lambda c: p.select(F.col(c).alias("name")).distinct().select(F.col("name").alias("id"), "name", F.col("name").alias("seq"))
     flows = p.select(F.col("p_partkey").alias("flow_id"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("from_name"))
     return resolve.endpoints(flows, distinct("p_type"), distinct("p_name"), "from_name")
 
@@ -306,9 +305,10 @@ def keyword_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def input_refs_from_predecessors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of earlier turns as form fields; every other turn asks for those of users."""
     c = conversations(spark, sf_dir)
-    pairs = c.alias("a").join(c.alias("b"), (F.col("a.process_id") == F.col("b.process_id")) & (F.col("a.seq") < F.col("b.seq"))).select(F.col("b.task_id").alias("activity"), F.col("a.task_id").alias("predecessor"))
-    fields = c.select(F.col("task_id").alias("activity"), F.col("role").alias("ref"))
-    chosen = c.where("seq % 2 = 0").select(F.col("task_id").alias("activity"), F.lit("user").alias("ref"))
+    acts = c.select("process_id", F.col("task_id").alias("id"), "seq")
+    pairs = graph.predecessors(acts, successors(c).select("process_id", "src", "dst"))
+    fields = c.select("process_id", F.col("task_id").alias("activity"), F.col("role").alias("ref"))
+    chosen = c.where("seq % 2 = 0").select("process_id", F.col("task_id").alias("activity"), F.lit("user").alias("ref"))
     return model.input_refs(pairs, fields, chosen).select("activity", F.array_join("refs", ",").alias("refs"))
 
 
@@ -361,7 +361,7 @@ def positional_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _artifact_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     c = conversations(spark, sf_dir)
     nodes = c.select(F.col("process_id").alias("proc_id"), F.col("task_id").alias("id"), F.lit("userTask").alias("kind"), "name", "role", "seq")
-    flows = successors(c).join(c.select("process_id", F.col("task_id").alias("src")), "src").select(F.col("process_id").alias("proc_id"), "src", "dst", "condition")
+    flows = successors(c).select(F.col("process_id").alias("proc_id"), "src", "dst", "condition")
     return nodes.select("proc_id", F.col("proc_id").alias("name")).distinct(), nodes, flows
 
 

@@ -25,7 +25,7 @@ task_process_mappings array<struct<task_name:string,process_name:string>>,
 sequence_flows array<struct<from_task:string,to_task:string,condition:string,process_name:string>>
 """
 OFFICE = (".doc", ".docx", ".ppt", ".pptx", ".xls", ".xlsx", ".odt", ".odp", ".ods", ".rtf")
-IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tif", ".tiff")
+IMAGES = (".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tif", ".tiff")
 
 Provider = Callable[[pd.DataFrame], pd.DataFrame]
 

@@ -17,7 +17,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as tasks: process_id, task_id, order, seq, role, text."""
     t = table(spark, sf_dir, "conversations")
     pid = F.concat(F.lit("p"), F.col("conv_id").cast("string"))
-    return t.select(pid.alias("process_id"), F.concat_ws("_", F.lit("t"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("task_id"), F.col("turn").cast("int").alias("order"), F.col("turn").cast("long").alias("seq"), "role", "text", F.left("text", F.lit(40)).alias("name"))
+    return t.select(pid.alias("process_id"), F.concat_ws("_", F.lit("t"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("task_id"), F.col("turn").cast("int").alias("order"), F.col("turn").cast("long").alias("seq"), "role", "text", F.coalesce("text", F.lit("")).alias("name"))
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,4 +46,4 @@ def graph_edges(tasks: DataFrame, role: str) -> DataFrame:
     none = F.lit("").alias("condition")
     has = tasks.select(F.lit("HAS_TASK").alias("rel"), F.col("process_id").alias("src"), F.col("task_id").alias("dst"), none)
     by = tasks.select(F.lit("PERFORMED_BY").alias("rel"), F.col("task_id").alias("src"), F.col(role).alias("dst"), none)
-    return has.unionByName(by).unionByName(successors(tasks))
+    return has.unionByName(by).unionByName(successors(tasks).drop("process_id"))

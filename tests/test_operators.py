@@ -54,7 +54,7 @@ def test_similarity(spark):
 
 @pytest.mark.parametrize(
     "broken, whole",
-    [('{"a": 1', {"a": 1}), ('{"a": [1, 2', {"a": [1, 2]}), ('{"a": "x', {"a": "x"}), ('{"a": 1} tail', {"a": 1}), ('{"a": "x\ny"}', {"a": "x y"}), ("{}", {}), ("nothing", None)],
+    [('{"a": 1', {"a": 1}), ('{"a": [1, 2', {"a": [1, 2]}), ('{"a": "x', None), ('note {"a": 1} tail', {"a": 1}), ('note {"a": [1, {"b": 2', {"a": [1, {"b": 2}]}), ('{"a": "x  \t y", ', None), ('{"a": 1} tail', {"a": 1}), ('{"a": "x\ny"}', {"a": "x y"}), ("{}", {}), ("nothing", None)],
 )
 def test_json_repair(broken, whole):
     got = jsonx.repaired(broken)
@@ -111,7 +111,7 @@ def test_closure_and_predecessors(spark):
     assert {tuple(r) for r in graph.closure(edges).collect()} == {(x, y) for x in "agb" for y in "agb"}
     acts = spark.createDataFrame([("p", "a", 0), ("p", "b", 1), ("q", "c", 0), ("q", "d", 1)], "process_id string, id string, seq long")
     got = {tuple(r) for r in graph.predecessors(acts, edges).collect()}
-    assert got == {("a", "b"), ("b", "a"), ("d", "c")}
+    assert got == {("p", "a", "b"), ("p", "b", "a"), ("q", "d", "c")}
     assert graph.paths(edges.select("src", "dst")).count() == 9  # no edge twice
 
 
