@@ -53,7 +53,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of STEP and of its inverse, modulo 2 ** 64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, BLOCK + (BLOCK >> 2))
+        size = max(n, BLOCK >> 1)
         up = [np.full(size, x, np.uint64) for x in (STEP, pow(STEP, -1, 1 << 64))]
         for x in up:
             x[0] = 1
@@ -61,9 +61,25 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def tokens(texts: Iterable) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, each text's end among them, and the number of tokens of each text."""
-    raw = [utf8(t) for t in texts]
+def tokens(texts: Iterable, together: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, each text's end among them, and the number of tokens of each text.
+
+    So many bytes are worked on together, as each takes several numbers; a longer text is by itself.
+    """
+    groups: list[list[bytes]] = [[]]
+    size = 0
+    for t in texts:
+        raw = utf8(t)
+        if groups[-1] and size + len(raw) > together:
+            groups.append([])
+            size = 0
+        groups[-1].append(raw)
+        size += len(raw)
+    h, count = zip(*map(hashed, groups), strict=True)
+    return np.concatenate(h), np.concatenate(count)
+
+
+def hashed(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
     blank = SPACE[data]
     begin = np.flatnonzero(~blank & np.append(True, blank[:-1]))
