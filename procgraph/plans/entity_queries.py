@@ -43,7 +43,7 @@ def question_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT 'HAS_TASK' AS rel, l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
-def optional_parent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parent_links_where_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines without a finished order have no parent."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.when(F.col("l_linenumber") > 0, F.col("l_orderkey")).alias("parent_id"))
     return entities.parent_links("HAS_TASK", li, table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")))
