@@ -80,3 +80,20 @@ def test_one_row_of_each_component(spark, keep_one):
     got = keep_one(docs)
     assert got.columns == docs.columns
     assert sorted((str(r["doc_id"]), r["text"][0]) for r in got.collect()) == [("3", "c"), ("5", "d"), ("5", "e"), ("None", "a"), ("None", "b")]
+
+
+def test_keys_that_meet():
+    """Keys of one set go, repeated rows count once, and frames end anywhere."""
+    rows = [(1, 5), (2, 5), (2, 5), (2, 6), (2, 7), (3, 5), (3, 5), (4, 6), (4, 9)]
+    for size in range(1, 10):
+        frames = [near.pd.DataFrame(rows[i : i + size], columns=["key", "gid"]) for i in range(0, len(rows), size)]
+        got = [tuple(map(int, r)) for f in near.met(iter(frames)) for r in f[["key", "gid"]].to_numpy()]
+        assert got == [(2, 5), (2, 6), (2, 7), (4, 6), (4, 9)]
+
+
+def test_copies_in_several_partitions(spark):
+    """Copies in several partitions, and keys that very many sets share."""
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join([*base[:i], f"n{i}", *base[i + 1 :]]) for i in range(0, 150, 2)] * 8 + [" ".join(f"z{i}" for i in range(90))] * 8
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], DOCS).repartition(5)
+    assert sorted(r["doc_id"] for r in near.keep_one(docs, heavy=8).collect()) == [0, 600]
