@@ -276,11 +276,13 @@ def one_row(docs: DataFrame, member: DataFrame) -> DataFrame:
     Of a component stays the smallest id, null ids last, then the smallest digest; of rows equal in both one, by a digest
     of the row.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("digest").alias("digest"))
-    stay = member.groupBy("component").agg(F.min(key).alias("k")).select(F.col("k.id").alias("_pg_id"), F.col("k.digest").alias("_pg_digest"))
+    many = member.groupBy("component", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("digest").alias("digest"), F.col("n").alias("n"))
+    stay = many.groupBy("component").agg(F.min(key).alias("k")).select(F.col("k.id").alias("_pg_id"), F.col("k.digest").alias("_pg_digest"), F.col("k.n").alias("_pg_n"))
     kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_pg_id")) & (F.xxhash64("text") == F.col("_pg_digest")))
     nth = F.row_number().over(Window.partitionBy("_pg_id", "_pg_digest").orderBy(F.xxhash64(*docs.columns)))
-    return kept.withColumn("_pg_nth", nth).where("_pg_nth = 1").select(*docs.columns)
+    repeated = kept.where("_pg_n > 1").withColumn("_pg_nth", nth).where("_pg_nth = 1")  # only these are shuffled again
+    return kept.where("_pg_n = 1").select(*docs.columns).union(repeated.select(*docs.columns))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
