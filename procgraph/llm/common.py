@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -76,6 +77,12 @@ def dropped(df: DataFrame) -> None:
         files.delete(p, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets the shuffle files of jobs that are over go now: Spark deletes them when the driver collects garbage, which may be late."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
