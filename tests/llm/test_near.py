@@ -97,3 +97,25 @@ def test_copies_in_several_partitions(spark):
     texts = [" ".join([*base[:i], f"n{i}", *base[i + 1 :]]) for i in range(0, 150, 2)] * 8 + [" ".join(f"z{i}" for i in range(90))] * 8
     docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], DOCS).repartition(5)
     assert sorted(r["doc_id"] for r in near.keep_one(docs, heavy=8).collect()) == [0, 600]
+
+
+def test_sliced_keeps_rows():
+    """Nulls, an empty frame and texts longer than a slice."""
+    texts = ["a" * 50, None, "", "b" * 7, "c" * 300, None, "d"]
+    frame = near.pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    parts = list(near.sliced(iter([frame.iloc[:0], frame, frame]), 60))
+    assert [len(p) for p in parts] == [5, 2, 5, 2]
+    assert near.pd.concat(parts)["doc_id"].tolist() == 2 * list(range(len(texts)))
+    for nulls in (None, float("nan")):
+        assert sum(map(len, near.sliced(iter([near.pd.DataFrame({"text": [nulls, nulls]})])))) == 2
+
+
+def test_one_row_of_repeated_ones(spark):
+    """Of rows equal in id and text one stays, also where the rest differs; those with a row of their own pass as they are."""
+    rows = [(1, "x", "p"), (1, "x", "q"), (1, "x", "q"), (2, "x", "r"), (3, "y", "s"), (None, "z", "t"), (None, "z", "t"), (None, None, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n string").repartition(4)
+    digest = near.F.xxhash64("text").alias("digest")
+    member = docs.select("doc_id", digest, near.F.xxhash64("text").alias("component"))
+    got = [tuple(r) for r in simhash.one_row(docs, member).collect()]
+    assert sorted((r[0] or 0, r[1] or "") for r in got) == [(0, ""), (0, "z"), (1, "x"), (3, "y")]
+    assert set(got) <= set(rows)
