@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from procgraph.llm import ann, bpe, katz, langid, licenses, packing, quality, secrets, simhash, suffix
+from procgraph.llm import ann, bpe, katz, langid, lexical, licenses, packing, quality, secrets, simhash, suffix, superkmers, whitening
 from procgraph.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmers.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_near_dedup,
         op9_secret_scan,
         op10_language_id,
+        op11_lexical_search,
+        op12_embedding_whitening,
+        op13_substring_dedup,
     )
 }
 
@@ -76,4 +91,6 @@ SELECT doc_id, digest, license_id FROM d LEFT JOIN known USING (digest)
 """,
     "op6_quality_rules": quality.ORACLE,
     "op9_secret_scan": secrets.ORACLE,
+    "op11_lexical_search": lexical.ORACLE,
+    "op13_substring_dedup": superkmers.oracle(),
 }
