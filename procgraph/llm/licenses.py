@@ -5,7 +5,8 @@ spellings no longer matter),
 hashed as a whole, and hash-joined to the digests of known licenses brought to the same form.
 
 Defined results: one row for each row of the input, repeated rows included. A null or empty text, or one of which
-nothing is left, has a null digest and no license. A very long text is hashed whole. Clashing columns aren't read. If two known licenses have the same digest, the smaller name counts.
+nothing is left, has a null digest and no license. A very long text is hashed whole, and a long run of marks or blanks takes
+time in proportion to its length. Clashing columns aren't read. If two known licenses have the same digest, the smaller name counts.
 Only DataFrame functions run. The known side is joined by broadcast only up to ``broadcast_rows`` licenses, counted.
 """
 
@@ -65,8 +66,8 @@ SPELLINGS = (
     ("wilfull", "wilful"),
 )
 
-#: Marks of comments at the start of a line.
-COMMENT = r"^[ \t]*(?:(?:[#*/;%!>|-]+|dnl|rem|<!--)[ \t]*)*"
+#: Marks of comments at the start of a line. Possessive: a run of any length is read once, and nothing is tried again.
+COMMENT = r"^[#*/;%!>| \t-]*+(?:(?:dnl|rem|<!--)[#*/;%!>| \t-]*+)*+"
 #: A line that only states a copyright, which takes a sign, a year or a place for one after the word, or reserves rights.
 COPYRIGHT_LINE = rf"(?m){COMMENT}(?:(?:portions )?copyright(?: owner| holder)?[ \t]*[:,]?[ \t]*(?:\(c\)|©|&copy;|by[ \t]|[<\[{{{{]|[0-9x]{{4}})|\(c\)[ \t]*(?:copyright|by[ \t]|[<\[{{{{]|[0-9x]{{4}})|©|all rights reserved\.?[ \t*/#]*$)[^\n]*$"
 #: The number, letter or bullet of an item of a list.
@@ -93,7 +94,7 @@ def canonical_sql(text: str, dialect: str = "spark") -> str:
     def replace(x: str, pattern: str, by: str) -> str:
         if dialect == "spark":
             return f"regexp_replace({x}, '{pattern.replace(chr(92), chr(92) * 2)}', '{by}')"
-        return f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+        return f"regexp_replace({x}, '{pattern.replace('*+', '*')}', '{by}', 'g')"  # that engine never tries again
 
     x = f"replace(replace(lower(coalesce({text}, '')), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
     x = replace(x, COPYRIGHT_LINE, " ")
