@@ -7,7 +7,10 @@ over every text.
 
 Defined results: a null text is an empty one and has no spans. Matches of one rule are leftmost and don't overlap;
 matches that fail the rule's length are dropped after matching. A private key goes from its BEGIN line over the
-base64 body to its END line; where that doesn't follow, the BEGIN line alone counts. Spans of different rules may overlap; spans that start
+base64 body to its END line, with up to eight headers; where that doesn't follow, the BEGIN line alone counts. The first
+part of a web token has up to 1000 characters behind its mark. With these bounds no expression tries a long run again from
+each of its places, nor does a text with very many spans take more than time in proportion to them: places and redacted
+texts are put together in groups of spans. Spans of different rules may overlap; spans that start
 together keep the order of the rules. Repeated rows are scanned one by one (candidates are a superset, so equal ids do no
 harm); other columns of the input don't matter. Only DataFrame functions run.
 """
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 
 from procgraph.llm.quality import let
 
+#: Spans of one text that are worked on together.
+GROUP = 256
 #: Stands around matches while positions are taken; in a text it is exchanged for another character first.
 MARK, OTHER = "\uE000", "\uE001"
 
@@ -43,8 +48,8 @@ def any_case(word: str) -> str:
 
 
 _ASSIGN = "|".join([any_case("password"), any_case("passwd"), any_case("secret"), any_case("token"), any_case("api") + "_?" + any_case("key")])
-#: What lies between the lines of a key: two kinds of headers, base64, line ends (also written as two characters).
-_KEY_BODY = r"(\s*(Proc-Type|DEK-Info): [A-Za-z0-9,-]+)*[A-Za-z0-9+/=\\\s]*"
+#: What lies between the lines of a key: up to eight headers of two kinds, base64, line ends (also written as two characters).
+_KEY_BODY = r"(\s*(Proc-Type|DEK-Info): [A-Za-z0-9,-]+){0,8}[A-Za-z0-9+/=\\\s]*"
 
 RULES = (
     Rule("assign", rf"""({_ASSIGN})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
@@ -54,7 +59,7 @@ RULES = (
     Rule("git_token", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
     Rule("map_key", r"AIza[A-Za-z0-9_-]+", 0, 39),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{1,1000}\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
     Rule("pay_key", r"[sr]k_live_[A-Za-z0-9]+", 0, 24),
 )
 
@@ -132,20 +137,37 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return met.groupBy(F.col("doc_id").alias("c_id")).agg(F.collect_set("kind").alias("kinds"))
 
 
+def grouped(x: Column) -> Column:
+    """An array in slices of GROUP."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / GROUP).cast("int")), lambda g: F.slice(x, g * GROUP + 1, GROUP))
+
+
+def sums_before(x: Column) -> Column:
+    """For each number of an array the sum of those before it, group by group, so that no long array is built item by item."""
+    add = lambda a, b: a + b
+
+    def offsets(groups: Column) -> Column:
+        step = lambda acc, g: F.struct((acc["at"] + F.aggregate(g, F.lit(0), add)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(groups, begin, step, lambda acc: acc["out"])
+
+    within = lambda g, base: F.transform(g, lambda _, i: base + F.aggregate(F.slice(g, 1, i), F.lit(0), add))
+    return let(grouped(x), lambda groups: let(offsets(groups), lambda base: F.flatten(F.transform(groups, lambda g, k: within(g, F.get(base, k))))))
+
+
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """An array of structs (start, k, stop) of the rule's spans in a text, in code points."""
     marked = F.split(F.regexp_replace(F.translate(text, MARK, OTHER), f"({rule.pattern})", f"{MARK}$1{MARK}"), MARK)
     empty = F.array().cast("array<struct<start:int,k:int,stop:int>>")
     size = lambda x: F.length(F.regexp_extract(x, rule.pattern, rule.group) if rule.group else x)
 
-    def step(acc: Column, x: Column) -> Column:
-        stop = acc["at"] + F.length(x)
-        span = F.struct(acc["at"].alias("start"), F.lit(order).alias("k"), stop.alias("stop"))
-        out = F.when(acc["inside"] & (size(x) >= rule.least), F.array_append(acc["out"], span)).otherwise(acc["out"])
-        return F.struct(stop.alias("at"), (~acc["inside"]).alias("inside"), out.alias("out"))
+    def inside(p: Column, starts: Column) -> Column:
+        """Every other part is a match."""
+        span = lambda i: F.struct(F.get(starts, i).alias("start"), F.lit(order).alias("k"), (F.get(starts, i) + F.length(F.get(p, i))).alias("stop"))
+        odd = F.filter(F.sequence(F.lit(1), F.size(p) - 1), lambda i: (i % 2 == 1) & (size(F.get(p, i)) >= rule.least))
+        return F.transform(odd, span)
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), empty.alias("out"))
-    return let(marked, lambda p: F.when(F.size(p) > 1, F.aggregate(p, begin, step, lambda acc: acc["out"])).otherwise(empty))
+    return let(marked, lambda p: F.when(F.size(p) > 1, let(sums_before(F.transform(p, F.length)), lambda starts: inside(p, starts))).otherwise(empty))
 
 
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, out: str = "secret_spans") -> DataFrame:
@@ -181,15 +203,27 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, by: str = "[SECRET]
     """docs with every span exchanged for a mark; n_chars follows. Spans that overlap or touch become one mark."""
     text = F.col("text")
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] > acc["at"]
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        first = (s["start"] == 0) & (acc["at"] == 0)
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit(by))).when(first & (acc["out"] == ""), F.lit(by)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
+    furthest = lambda spans: F.array_max(F.transform(spans, lambda s: s["stop"]))
+
+    def part(spans: Column, at: Column, piece: Column) -> Column:
+        """What the spans of a group leave of a piece of the text, which begins at a place up to which all is done."""
+
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.substring(piece, acc["at"] - at + 1, s["start"] - acc["at"])
+            first = (s["start"] == 0) & (acc["at"] == 0)
+            out = F.when(s["start"] > acc["at"], F.concat(acc["out"], gap, F.lit(by))).when(first & (acc["out"] == ""), F.lit(by)).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
+
+        return F.aggregate(spans, F.struct(at.alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+    def cut(groups: Column) -> Column:
+        done = F.transform(groups, lambda g, k: F.coalesce(furthest(F.transform(F.slice(groups, 1, k), lambda x: F.struct(furthest(x).alias("stop")))), F.lit(0)))
+        upto = lambda g, k, at: F.greatest(at, furthest(g))
+        piece = lambda g, k, at: F.substring(text, at + 1, upto(g, k, at) - at)
+        return let(done, lambda at: F.array_join(F.transform(groups, lambda g, k: let(piece(g, k, F.get(at, k)), lambda p: part(g, F.get(at, k), p))), ""))
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate("_pg_spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    tail = let(furthest(F.col("_pg_spans")), lambda at: F.substring(text, at + 1, F.length(text)))
+    whole = F.concat(let(grouped(F.col("_pg_spans")), cut), tail)
     hit = F.size("_pg_spans") > 0
     out = find(docs, rules, "_pg_spans").withColumn("_pg_text", F.when(hit, whole).otherwise(text))
     cols = [F.col("_pg_text").alias("text") if c == "text" else F.when(hit, F.length("_pg_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
