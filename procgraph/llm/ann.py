@@ -10,8 +10,9 @@ probed as hold ``k`` candidates. Small lists share a cell of about ``block`` vec
 several, so that a hot list is no hot task.
 
 Nearness is the largest inner product; ties go to the smaller id. Defined results: vectors that are null, zero, or hold
-null or non-finite components take no part, nor do those of another dimension than most, nor null ids. If two rows have
-the same id both are candidates. A query never finds its own id. With fewer candidates than k all are returned; an empty
+null or non-finite components take no part, nor do those of another dimension than most, nor null ids. A row that is repeated
+with id and vector counts once, as query and as candidate. Rows that share an id only are queries and candidates of their
+own, so such an id has several lists of ranks, and may be found several times. A query never finds its own id. With fewer candidates than k all are returned; an empty
 table gives no rows. Other columns of the input, whatever their names, aren't read; there are no texts.
 """
 
@@ -127,8 +128,8 @@ def cells(size: np.ndarray, block: int) -> list[list[int]]:
 
 def best_of(rows: pd.DataFrame, depth: int) -> pd.DataFrame:
     """Of each query the depth best estimates, ties to the smaller id."""
-    rows = rows.iloc[np.lexsort((rows["id"], -rows["guess"], rows["qid"]))]
-    return rows[rows.groupby("qid").cumcount() < depth]
+    rows = rows.iloc[np.lexsort((rows["dig"], rows["id"], -rows["guess"], rows["qdig"], rows["qid"]))]
+    return rows[rows.groupby(["qid", "qdig"]).cumcount() < depth]
 
 
 def search(vectors: DataFrame, k: int = 20, query_every: int = 20, sample_rows: int = 8192, target: float = 0.96, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -139,9 +140,10 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, sample_rows:
     dims = found.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not dims:
         return spark.createDataFrame([], out)
-    dim, n = int(dims[0]["d"]), int(dims[0]["n"])
-    found = found.where(F.size("x") == dim)
+    dim = int(dims[0]["d"])
+    found = stored(found.where(F.size("x") == dim).distinct().withColumn("dig", F.xxhash64("x")), "vectors")
     rows = found.orderBy(F.xxhash64("id", "x"), "id").limit(sample_rows).collect()  # a bounded sample, the same however rows are dealt out
+    n = found.count()
     sample = np.array([r["x"] for r in sorted(rows, key=lambda r: (r["id"], r["x"]))])
     model = spark.sparkContext.broadcast(fit(sample, n, k, target))  # at most 1024 centroids and 256 words a part
 
@@ -149,14 +151,14 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, sample_rows:
         for p in frames:
             if len(p):
                 lists, codes = model.value.encode(np.stack(p["x"].to_numpy()))
-                yield pd.DataFrame({"list": lists, "id": p["id"], "codes": [c.tobytes() for c in codes]})
+                yield pd.DataFrame({"list": lists, "id": p["id"], "dig": p["dig"], "codes": [c.tobytes() for c in codes]})
 
-    members = found.mapInPandas(indexed, "list int, id long, codes binary")
+    members = stored(found.mapInPandas(indexed, "list int, id long, dig long, codes binary"), "members")
     sizes = {r["list"]: r["n"] for r in members.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as there are lists
     size = np.array([sizes.get(i, 0) for i in range(len(model.value.centroids))])
     places = cells(size, block)
     where = F.get(F.array(*[F.array(*[F.lit(c) for c in own]) for own in places]), F.col("list"))
-    members = members.withColumn("cell", F.get(where, F.pmod(F.xxhash64("id"), F.size(where)).cast("int")))
+    members = members.withColumn("cell", F.get(where, F.pmod(F.xxhash64("id", "dig"), F.size(where)).cast("int")))
 
     def probing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The lists that a query probes, by cells; first those that come first and hold several times depth candidates together."""
@@ -177,23 +179,23 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, sample_rows:
                             by_cell.setdefault(c, []).append(at)
                     ask += [(c, first, i, ls) for c, ls in by_cell.items()]
             i = [a[2] for a in ask]
-            yield pd.DataFrame({"cell": [a[0] for a in ask], "first": [a[1] for a in ask], "qid": p["id"].to_numpy()[i], "q": p["x"].to_numpy()[i], "lists": [a[3] for a in ask]})
+            yield pd.DataFrame({"cell": [a[0] for a in ask], "first": [a[1] for a in ask], "qid": p["id"].to_numpy()[i], "qdig": p["dig"].to_numpy()[i], "q": p["x"].to_numpy()[i], "lists": [a[3] for a in ask]})
 
     queries = found.where(F.col("id") % query_every == 0)
-    asked = queries.mapInPandas(probing, "cell int, first boolean, qid long, q array<double>, lists array<int>")
+    asked = queries.mapInPandas(probing, "cell int, first boolean, qid long, qdig long, q array<double>, lists array<int>")
 
     def near(key: tuple, q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"qid": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "guess": np.zeros(0)})
+        none = pd.DataFrame({**{c: np.zeros(0, np.int64) for c in ("qid", "qdig", "id", "dig")}, "guess": np.zeros(0)})
         if not len(q) or not len(m):
             return none
         m = m.sort_values(["list", "id"], kind="stable")
-        ids = m["id"].to_numpy()
+        ids, digs = m["id"].to_numpy(), m["dig"].to_numpy()
         codes = np.frombuffer(b"".join(map(bytes, m["codes"])), np.uint8).reshape(len(m), -1)
         lists, begin = np.unique(m["list"].to_numpy(), return_index=True)
         end, depth, ix, got = np.append(begin[1:], len(m)), model.value.depth, model.value, [none]
         for at in range(0, len(q), 256):
             part = q.iloc[at : at + 256]
-            qids, floor, qx = part["qid"].to_numpy(), part["floor"].to_numpy(), np.stack(part["q"].to_numpy())
+            qids, qdigs, floor, qx = part["qid"].to_numpy(), part["qdig"].to_numpy(), part["floor"].to_numpy(), np.stack(part["q"].to_numpy())
             tables = ix.tables(qx)
             probes, some = np.stack([np.isin(lists, ls) for ls in part["lists"]]), []
             for j, (lo, hi) in enumerate(zip(begin, end, strict=True)):
@@ -204,23 +206,23 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, sample_rows:
                     some.append((who[i], lo + x, guess[i, x]))
             if some:
                 i, x, guess = map(np.concatenate, zip(*some, strict=True))
-                got.append(best_of(pd.DataFrame({"qid": qids[i], "id": ids[x], "guess": guess}), depth))
+                got.append(best_of(pd.DataFrame({"qid": qids[i], "qdig": qdigs[i], "id": ids[x], "dig": digs[x], "guess": guess}), depth))
         return pd.concat(got)
 
     def scanned(asked: DataFrame) -> DataFrame:
-        return asked.groupBy("cell").cogroup(members.groupBy("cell")).applyInPandas(near, "qid long, id long, guess double")
+        return asked.groupBy("cell").cogroup(members.groupBy("cell")).applyInPandas(near, "qid long, qdig long, id long, dig long, guess double")
 
     def top(rows: DataFrame) -> DataFrame:
-        best = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("guess"), "id"))
+        best = F.row_number().over(W.partitionBy("qid", "qdig").orderBy(F.desc("guess"), "id", "dig"))
         return rows.withColumn("n", best).where(F.col("n") <= model.value.depth)
 
     low = F.lit(float("-inf"))
     early = stored(top(scanned(asked.where("first").withColumn("floor", low))), "nearest")
-    floor = early.where(F.col("n") == model.value.depth).select(F.col("qid").alias("f_qid"), F.col("guess").alias("floor"))
-    late = asked.where("NOT first").join(floor, F.col("qid") == F.col("f_qid"), "left").withColumn("floor", F.coalesce("floor", low)).drop("f_qid")
-    hits = top(early.drop("n").unionByName(scanned(late)).distinct()).select("qid", "id")
+    floor = early.where(F.col("n") == model.value.depth).select(F.col("qid").alias("f_qid"), F.col("qdig").alias("f_qdig"), F.col("guess").alias("floor"))
+    late = asked.where("NOT first").join(floor, (F.col("qid") == F.col("f_qid")) & (F.col("qdig") == F.col("f_qdig")), "left").withColumn("floor", F.coalesce("floor", low)).drop("f_qid", "f_qdig")
+    hits = top(early.drop("n").unionByName(scanned(late)).distinct()).select("qid", "qdig", "id", "dig")
     exact = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    pairs = hits.join(found, "id").join(queries.select(F.col("id").alias("qid"), F.col("x").alias("q")), "qid")
-    scored = pairs.select(F.col("qid").alias("query_id"), F.col("id").alias("vec_id"), exact.alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    pairs = hits.join(found, ["id", "dig"]).join(queries.select(F.col("id").alias("qid"), F.col("dig").alias("qdig"), F.col("x").alias("q")), ["qid", "qdig"])
+    scored = pairs.select(F.col("qid").alias("query_id"), "qdig", F.col("id").alias("vec_id"), "dig", exact.alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id", "qdig").orderBy(F.desc("score"), "vec_id", "dig"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
