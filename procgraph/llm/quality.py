@@ -83,7 +83,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("host"), F.xxhash64(text).alias("digest"), F.filter(F.transform(F.split(text, "\n"), line), lambda x: x["line"].isNotNull()).alias("lines"))
 
 
-def frequent_lines(rows: DataFrame, min_docs: int = 50) -> DataFrame:
+def frequent_lines(rows: DataFrame, min_docs: int = 10) -> DataFrame:
     """host and line of the lines of more than min_docs distinct documents of the host, from line_rows()."""
     texts = rows.select("host", "digest", F.array_distinct(F.transform("lines", lambda x: x["line"])).alias("lines")).groupBy("host", "digest").agg(F.first("lines").alias("lines"))
     counts = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
@@ -126,7 +126,7 @@ def clean(docs: DataFrame, keep_per_cent: int = 50, **limits) -> DataFrame:
     return out.select(*docs.columns)
 
 
-def oracle(min_docs: int = 50) -> str:
+def oracle(min_docs: int = 10) -> str:
     """SQL for the rows of assess()."""
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
