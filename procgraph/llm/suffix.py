@@ -107,6 +107,11 @@ class Anchors:
         return np.ascontiguousarray(rows).view(f"S{g}").reshape(-1)
 
 
+def hash_bucket(h: np.ndarray, parts: int) -> np.ndarray:
+    """Buckets of 48-bit hashes, rising with the hash; up to 2**32 of them without overflow."""
+    return ((h >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32)
+
+
 def groups(*keys: np.ndarray) -> np.ndarray:
     """Where runs of equal keys begin; all keys sorted."""
     if not len(keys[0]):
@@ -198,7 +203,7 @@ def flagged_docs(docs: DataFrame, length: int, bucket_bytes: int = 4 << 20) -> D
             h, d = h[once], d[once]
             begin = groups(h)
             several = np.repeat(np.diff(np.append(begin, len(h))) > 1, np.diff(np.append(begin, len(h))))
-            bucket = (h * np.uint64(parts)) >> np.uint64(48)
+            bucket = hash_bucket(h, parts)
             one_h, one_d, one_b = h[~several], d[~several], bucket[~several]
             both, both_b = h[begin][several[begin]], bucket[begin][several[begin]]
             cut, cut2 = np.searchsorted(one_b, np.arange(parts + 1)), np.searchsorted(both_b, np.arange(parts + 1))
