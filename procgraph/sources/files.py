@@ -19,7 +19,7 @@ roles array<struct<name:string,description:string,org_unit:string,persona_hint:s
 gateways array<struct<name:string,gateway_type:string,parent_process:string,incoming_task:string,description:string,condition:string>>,
 events array<struct<name:string,event_type:string,trigger:string,parent_process:string>>,
 decisions array<struct<name:string,description:string,input_data:array<string>,output_data:array<string>,related_role:string>>,
-rules array<struct<when:string,then:string,confidence:double,decision_id:string>>,
+rules array<struct<when:string,then:string,condition:string,result:string,confidence:double,decision_id:string>>,
 task_role_mappings array<struct<task_name:string,role_name:string>>,
 task_process_mappings array<struct<task_name:string,process_name:string>>,
 sequence_flows array<struct<from_task:string,to_task:string,condition:string,process_name:string>>
