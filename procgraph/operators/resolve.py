@@ -21,14 +21,28 @@ from procgraph.functions.text import name_key, text_key
 GRAMS = (16, 3, 2, 1)
 #: Names up to which their leading characters are sent to every task.
 SMALL = 20_000
+#: Different names up to which each text is searched for all of them.
+FEW = 256
 #: Characters of a text that are cut into grams together.
 PIECE = 4096
 
 
+def _containing_few(texts: DataFrame, names: DataFrame, text: str, name: str, words: list[str], small: bool) -> DataFrame:
+    """The same for a few different names, in one pass over the texts; only texts that hold one go on to the join."""
+    asked = F.array(*[F.lit(w) for w in words]).cast("array<string>")
+    held = F.flatten(F.transform(F.array(F.col(text)), lambda t: F.filter(asked, lambda w: F.contains(t, w))))  # the text is made once, not for each name
+    hits = texts.where(F.col(text) != "").withColumn("_w", F.explode_outer(held)).where("_w IS NOT NULL")
+    return hits.join(F.broadcast(names) if small else names, F.col("_w") == F.col(name)).drop("_w")
+
+
 def containing(texts: DataFrame, names: DataFrame, text: str, name: str, small: int = SMALL) -> DataFrame:
     """Pairs of rows where the text contains the name (not empty). Columns of both sides must differ in name."""
+    known = names.where(F.length(name) > 0)
+    counts = known.groupBy(F.col(name).alias("_w")).agg(F.count(F.lit(1)).alias("n")).limit(FEW + 1).collect()
+    if len(counts) <= FEW:
+        return _containing_few(texts, known, text, name, sorted(r["_w"] for r in counts), sum(r["n"] for r in counts) <= small)
     length = F.coalesce(*[F.when(F.length(name) >= n, n) for n in GRAMS])
-    filed = names.where(F.length(name) > 0).withColumn("_g", F.left(F.col(name), length))
+    filed = known.withColumn("_g", F.left(F.col(name), length))
     keys = filed.select("_g").distinct()
     few = keys.limit(small + 1).count() <= small
     keyed = texts.where(F.col(text) != "").withColumn("_t", F.xxhash64(text))
