@@ -142,17 +142,15 @@ def grouped(x: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / GROUP).cast("int")), lambda g: F.slice(x, g * GROUP + 1, GROUP))
 
 
-def sums_before(x: Column) -> Column:
-    """For each number of an array the sum of those before it, group by group, so that no long array is built item by item."""
-    add = lambda a, b: a + b
+def offsets(groups: Column) -> Column:
+    """Of arrays of numbers the sum of all before each, so that no long array is built item by item."""
+    step = lambda acc, g: F.struct((acc["at"] + total(g)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(groups, begin, step, lambda acc: acc["out"])
 
-    def offsets(groups: Column) -> Column:
-        step = lambda acc, g: F.struct((acc["at"] + F.aggregate(g, F.lit(0), add)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(groups, begin, step, lambda acc: acc["out"])
 
-    within = lambda g, base: F.transform(g, lambda _, i: base + F.aggregate(F.slice(g, 1, i), F.lit(0), add))
-    return let(grouped(x), lambda groups: let(offsets(groups), lambda base: F.flatten(F.transform(groups, lambda g, k: within(g, F.get(base, k))))))
+def total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0), lambda a, b: a + b)
 
 
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
@@ -161,13 +159,15 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     empty = F.array().cast("array<struct<start:int,k:int,stop:int>>")
     size = lambda x: F.length(F.regexp_extract(x, rule.pattern, rule.group) if rule.group else x)
 
-    def inside(p: Column, starts: Column) -> Column:
-        """Every other part is a match."""
-        span = lambda i: F.struct(F.get(starts, i).alias("start"), F.lit(order).alias("k"), (F.get(starts, i) + F.length(F.get(p, i))).alias("stop"))
-        odd = F.filter(F.sequence(F.lit(1), F.size(p) - 1), lambda i: (i % 2 == 1) & (size(F.get(p, i)) >= rule.least))
-        return F.transform(odd, span)
+    def inside(p: Column, lens: Column, base: Column) -> Column:
+        """Every other part is a match; places are summed up for those only that are long enough."""
+        odd = F.filter(F.sequence(F.lit(1), F.size(p) - 1, F.lit(2)), lambda i: size(F.get(p, i)) >= rule.least)
+        group = lambda i: F.floor(i / GROUP).cast("int")
+        start = lambda i: F.get(base, group(i)) + total(F.slice(lens, group(i) * GROUP + 1, i % GROUP))
+        return F.transform(odd, lambda i: let(start(i), lambda at: F.struct(at.alias("start"), F.lit(order).alias("k"), (at + F.get(lens, i)).alias("stop"))))
 
-    return let(marked, lambda p: F.when(F.size(p) > 1, let(sums_before(F.transform(p, F.length)), lambda starts: inside(p, starts))).otherwise(empty))
+    found = lambda p: let(F.transform(p, F.length), lambda lens: let(offsets(grouped(lens)), lambda base: inside(p, lens, base)))
+    return let(marked, lambda p: F.when(F.size(p) > 1, found(p)).otherwise(empty))
 
 
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, out: str = "secret_spans") -> DataFrame:
