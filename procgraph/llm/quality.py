@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procgraph.llm.common import WS
+from procgraph.llm.common import WS, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything that normalising a line turns to a blank.
@@ -92,7 +92,7 @@ def frequent_lines(rows: DataFrame, min_docs: int = 10) -> DataFrame:
 
 def removals(docs: DataFrame, **limits) -> DataFrame:
     """doc_id, digest, removed: the positions and word counts of the lines to remove, for the texts that have any."""
-    rows = line_rows(docs)
+    rows = stored(line_rows(docs), "lines")  # hashes and numbers, read twice
     each = rows.select("doc_id", "host", "digest", F.explode("lines").alias("x")).select("doc_id", "host", "digest", "x.*")
     hit = each.join(frequent_lines(rows, **limits), ["host", "line"])
     return hit.groupBy(F.col("doc_id").alias("r_id"), F.col("digest").alias("r_digest")).agg(F.collect_set(F.struct("pos", "words")).alias("removed"))
