@@ -121,7 +121,7 @@ def route(start: tuple, goal: tuple, boxes: list, most: int = 1000, beam: int =
     """
     snap = lambda p: (round(p[0] / GRID) * GRID, round(p[1] / GRID) * GRID)
     a, b = snap(start), snap(goal)
-    blocked = lambda p: any(x < p[0] < x + w and y < p[1] < y + h for x, y, w, h in boxes)
+    inside = {(px, py) for x, y, w, h in boxes for px in range((x // GRID + 1) * GRID, x + w, GRID) for py in range((y // GRID + 1) * GRID, y + h, GRID)}
     xs = [a[0], b[0], *(v for x, _, w, _ in boxes for v in (x, x + w))]
     ys = [a[1], b[1], *(v for _, y, _, h in boxes for v in (y, y + h))]
     left, right, top, bottom = min(xs) - 5 * GRID, max(xs) + 5 * GRID, min(ys) - 5 * GRID, max(ys) + 5 * GRID
@@ -135,7 +135,7 @@ def route(start: tuple, goal: tuple, boxes: list, most: int = 1000, beam: int =
         for d in ((GRID, 0), (-GRID, 0), (0, GRID), (0, -GRID)):
             q = (p[0] + d[0], p[1] + d[1])
             t = turns + (way not in ((0, 0), d))
-            if not (left <= q[0] <= right and top <= q[1] <= bottom) or (blocked(q) and q != b) or best.get((q, d), (1 << 30, 0)) <= (t, len(path)):
+            if not (left <= q[0] <= right and top <= q[1] <= bottom) or (q in inside and q != b) or best.get((q, d), (1 << 30, 0)) <= (t, len(path)):
                 continue
             best[q, d] = (t, len(path))
             far = abs(q[0] - b[0]) + abs(q[1] - b[1])
