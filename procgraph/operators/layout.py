@@ -85,7 +85,8 @@ def layers(ids: list, edges: list) -> dict:
 def layered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """process_id, id, layer, x, y. nodes: process_id, id, lane, seq. edges: process_id, src, dst.
 
-    Edges count in the order of what they lead from and to, so how rows arrive makes no difference.
+    Edges count in the order of what they lead from and to, so how rows arrive makes no difference. Nodes without a lane come
+    last, in a lane of their own.
     """
 
     def run(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
@@ -94,12 +95,16 @@ def layered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         at = {i: k for k, i in enumerate(ids)}
         known = {(a, b) for a, b in zip(e["src"], e["dst"], strict=True) if a in at and b in at}
         layer = layers(ids, sorted(known, key=lambda x: (at[x[0]], at[x[1]])))
-        n = n.assign(layer=[layer[i] for i in ids])
-        full = n.groupby(["lane", "layer"]).size().groupby("lane").max()
-        left = (full * STEP_X).cumsum().shift(fill_value=0)
-        place = n.groupby(["lane", "layer"]).cumcount()
-        x = n["lane"].map(left) + place * STEP_X + STEP_X // 2
-        return pd.DataFrame({"process_id": key[0], "id": n["id"], "layer": n["layer"], "x": x.astype("int64"), "y": STEP_Y * n["layer"] + 40})
+        lanes = [None if v is None or v != v else v for v in n["lane"]]
+        full, place, left, x = {}, [], {}, 0
+        for at_lane in zip(lanes, (layer[i] for i in ids), strict=True):
+            place.append(full.get(at_lane, 0))
+            full[at_lane] = place[-1] + 1
+        for lane in sorted({v for v, _ in full}, key=lambda v: (v is None, v)):
+            left[lane] = x
+            x += STEP_X * max(c for (v, _), c in full.items() if v == lane)
+        of = [layer[i] for i in ids]
+        return pd.DataFrame({"process_id": key[0], "id": ids, "layer": of, "x": [left[v] + k * STEP_X + STEP_X // 2 for v, k in zip(lanes, place, strict=True)], "y": [STEP_Y * v + 40 for v in of]})
 
     return nodes.groupBy("process_id").cogroup(edges.groupBy("process_id")).applyInPandas(run, "process_id string, id string, layer long, x long, y long")
 
