@@ -20,6 +20,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
+def letter_counts(text: Column) -> Column:
+    """How often a text has each letter from a to z: a vector that stands in for one of an embedding model."""
+    low = F.lower(text)
+    return F.transform(F.array(*[F.lit(c) for c in "abcdefghijklmnopqrstuvwxyz"]), lambda c: (F.length(low) - F.length(F.replace(low, c, F.lit("")))).cast("double"))
+
+
 def char_jaccard(a: Column, b: Column) -> Column:
     """Jaccard index of the sets of characters; 0 if one is empty."""
     chars = lambda x: F.array_distinct(F.filter(F.split(x, ""), lambda c: c != ""))
