@@ -31,6 +31,7 @@ Provider = Callable[[pd.DataFrame], pd.DataFrame]
 
 
 def binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Files below a path with their bytes. Spark's scan leaves out files of no bytes."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
 
 
