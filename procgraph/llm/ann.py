@@ -1,13 +1,18 @@
-"""Approximate nearest neighbours by an inverted file with product-quantised residuals.
+"""Nearest neighbours by an inverted file with product-quantised residuals, and bounds that make it exact.
 
 Coarse centroids split the vectors into lists; what a vector differs from its centroid by is product-quantised. A query
-probes the lists whose centroids are nearest, ranks their members by asymmetric distance tables, and the ``depth`` best of
-all its lists together are reranked exactly, in double precision on the original vectors. The nearest lists are ranked
-first; from the others only what beats the worst of the best so far is passed on. Centroids and codebooks are fitted on at
-most ``sample_rows`` vectors, those with the lowest hashes; every vector is indexed. How many lists are probed and how deep
-is reranked is set from the same sample, so that ``target`` of its exact neighbours are found; at least as many lists are
-probed as hold ``k`` candidates. Small lists share a cell of about ``block`` vectors, a list of many members is split into
-several, so that a hot list is no hot task.
+first scans the lists whose centroids are nearest: asymmetric distance tables rank their members, the ``depth`` best of
+each cell are scored exactly, in double precision on the original vectors, and what the error of its code leaves a chance
+against them is scored, too. Of the other lists only those follow whose centroid and radius leave a chance to beat the k
+nearest so far, so none is lost, whatever the rows are like. Vectors travel with their codes and are scored where they lie;
+of a query a cell gives at most k + 1 rows.
+
+Centroids and codebooks are fitted on at most ``sample_rows`` vectors, those with the lowest hashes; every vector is
+indexed. How many lists are scanned first and how deep is ranked is set from the same sample; that changes the work only.
+The less structure the vectors have, the fewer lists the bounds leave out: rows without any are scanned as a whole, by
+tables, and the work then grows with queries times vectors. Equal vectors are one vector with the smallest of its ids, and
+queries that are equal are asked once. Small lists share a cell of about ``block`` vectors, a list of many members is split
+into several, so that a hot list is no hot task.
 
 Nearness is the largest inner product; ties go to the smaller id. Defined results: vectors that are null, zero, or hold
 null or non-finite components take no part, nor do those of another dimension than most, nor null ids. A row that is repeated
@@ -27,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from procgraph.llm.common import stored
+from procgraph.llm.blobs import ranges
+from procgraph.llm.common import ship, stored
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -64,6 +70,12 @@ class Index:
         parts = self.split(x - self.centroids[lists])
         return lists, np.stack([nearest(parts[:, j], self.books[j]) for j in range(len(self.books))], 1).astype(np.uint8)
 
+    def errors(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How far vectors are from their centroids, and from what their codes stand for."""
+        away = x - self.centroids[lists]
+        left = self.split(away) - np.stack([b[codes[:, j]] for j, b in enumerate(self.books)], 1)
+        return np.linalg.norm(away, axis=1), np.sqrt((left * left).sum((1, 2)))
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Queries by parts by words: inner products of a query's part with the words."""
         return np.matmul(self.split(q).transpose(1, 0, 2), self.books.transpose(0, 2, 1)).transpose(1, 0, 2)
@@ -126,103 +138,199 @@ def cells(size: np.ndarray, block: int) -> list[list[int]]:
     return out
 
 
-def best_of(rows: pd.DataFrame, depth: int) -> pd.DataFrame:
-    """Of each query the depth best estimates, ties to the smaller id."""
-    rows = rows.iloc[np.lexsort((rows["dig"], rows["id"], -rows["guess"], rows["qdig"], rows["qid"]))]
-    return rows[rows.groupby(["qid", "qdig"]).cumcount() < depth]
+#: No id: of a query that any id may answer, and of a vector without a second id. Ids are compared with it only.
+NONE = -(1 << 63)
+
+
+@dataclass
+class Members:
+    """The vectors of a cell, by lists."""
+
+    lists: np.ndarray  # those in the cell, and where their members begin and end
+    begin: np.ndarray
+    end: np.ndarray
+    codes: np.ndarray
+    x: np.ndarray
+    norm: np.ndarray
+    err: np.ndarray
+    ids: np.ndarray  # of all vectors, one after the other; at and size tell whose
+    at: np.ndarray
+    size: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+
+    @classmethod
+    def of(cls, m: pd.DataFrame) -> Members:
+        m = m.assign(first=[i[0] for i in m["ids"]]).sort_values(["list", "first"], kind="stable")
+        lists, begin = np.unique(m["list"].to_numpy(), return_index=True)
+        size, x = np.array([len(i) for i in m["ids"]], np.int64), np.stack(m["x"].to_numpy())
+        second = np.array([i[1] if len(i) > 1 else NONE for i in m["ids"]], np.int64)
+        codes = np.frombuffer(b"".join(map(bytes, m["codes"])), np.uint8).reshape(len(m), -1)
+        return cls(lists, begin, np.append(begin[1:], len(m)), codes, x, np.linalg.norm(x, axis=1), m["err"].to_numpy(), np.concatenate(list(m["ids"])), np.cumsum(size) - size, size, m["first"].to_numpy(), second)
+
+
+def products(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """Inner products of q[i] and x[j], summed from the first component to the last, so that they are the same in any batch."""
+    out = np.zeros(len(i))
+    for at in range(0, len(i), step):
+        a, b, total = q[i[at : at + step]], x[j[at : at + step]], out[at : at + step]
+        for c in range(x.shape[1]):
+            total += a[:, c] * b[:, c]
+    return out
+
+
+def best_of(i: np.ndarray, ids: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
+    """Which rows are among the best of their query i, ties to the smaller id; sorted by query and rank."""
+    by = np.lexsort((ids, -score, i))
+    q = i[by]
+    begin = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else q
+    return by[np.arange(len(q)) - np.repeat(begin, np.diff(np.append(begin, len(q)))) < most]
+
+
+def scan(ix: Index, qx: np.ndarray, own: np.ndarray, floor: np.ndarray, probes: np.ndarray, m: Members, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, id and score of the rows of a cell that may be among the best of a query: all that reach its floor, at most so many."""
+    tables, norm = ix.tables(qx), np.linalg.norm(qx, axis=1)
+    guess = np.full((len(qx), len(m.x)), -np.inf)
+    for j, (lo, hi) in enumerate(zip(m.begin, m.end, strict=True)):
+        who = np.flatnonzero(probes[:, j])
+        if who.size:
+            est = ix.estimate(qx[who], tables[who], m.codes[lo:hi], int(m.lists[j]))
+            first = np.where(m.first[None, lo:hi] == own[who, None], m.second[None, lo:hi], m.first[None, lo:hi])
+            guess[who, lo:hi] = np.where(first == NONE, -np.inf, np.where(np.isnan(est), np.inf, est))
+    depth = min(max(ix.depth, most), len(m.x))
+    top = np.argpartition(-guess, depth - 1, 1)[:, :depth]
+    i, x = np.repeat(np.arange(len(qx)), depth), top.reshape(-1)
+    seen = guess[i, x] > -np.inf
+    i, x = i[seen], x[seen]
+    score = products(qx, m.x, i, x)
+    if depth >= most:  # the last of the best so far, where there are so many
+        so_far = np.full((len(qx), depth), -np.inf)
+        so_far.reshape(-1)[seen] = score
+        floor = np.maximum(floor, -np.partition(-so_far, most - 1, 1)[:, most - 1])
+    slack = norm[:, None] * (m.err * (1 + 1e-9) + 1e-9 * m.norm)[None]
+    left = (guess > -np.inf) & ~(guess + slack < floor[:, None])
+    left[i, x] = False
+    more_i, more_x = np.nonzero(left)
+    i, x, score = np.append(i, more_i), np.append(x, more_x), np.append(score, products(qx, m.x, more_i, more_x))
+    reach = ~(score < floor[i])
+    i, x, score = i[reach], x[reach], score[reach]
+    few = best_of(i, np.where(m.first[x] == own[i], m.second[x], m.first[x]), score, most)  # later vectors have no row among the best
+    i, x, score = i[few], x[few], score[few]
+    n = m.size[x]
+    i, score, ids = np.repeat(i, n), np.repeat(score, n), m.ids[ranges(m.at[x], n)]
+    i, score, ids = (v[ids != own[i]] for v in (i, score, ids))
+    few = best_of(i, ids, score, most)
+    return i[few], ids[few], score[few]
 
 
 def search(vectors: DataFrame, k: int = 20, query_every: int = 20, sample_rows: int = 8192, target: float = 0.96, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest of every vector whose id is divisible by query_every."""
     spark = vectors.sparkSession
+    ship(spark)
     out = "query_id long, rank int, vec_id long, score double"
     found = usable(vectors, id_col, vector_col)
     dims = found.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not dims:
         return spark.createDataFrame([], out)
     dim = int(dims[0]["d"])
-    found = stored(found.where(F.size("x") == dim).distinct().withColumn("dig", F.xxhash64("x")), "vectors")
-    rows = found.orderBy(F.xxhash64("id", "x"), "id").limit(sample_rows).collect()  # a bounded sample, the same however rows are dealt out
+    rows = stored(found.where(F.size("x") == dim).distinct(), "rows")
+    most = k + 1  # a query may be among its own nearest, and goes at the end
+    nth = F.row_number().over(W.partitionBy("x").orderBy("id"))
+    found = rows.withColumn("nth", nth).where(F.col("nth") <= most).groupBy("x").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    found = stored(found.withColumn("dig", F.xxhash64("x")), "vectors")
+    some = found.orderBy("dig", F.element_at("ids", 1)).limit(sample_rows).collect()  # a bounded sample, the same however rows are dealt out
     n = found.count()
-    sample = np.array([r["x"] for r in sorted(rows, key=lambda r: (r["id"], r["x"]))])
+    sample = np.array([r["x"] for r in sorted(some, key=lambda r: (r["ids"][0], r["x"]))])
     model = spark.sparkContext.broadcast(fit(sample, n, k, target))  # at most 1024 centroids and 256 words a part
 
     def indexed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in frames:
             if len(p):
-                lists, codes = model.value.encode(np.stack(p["x"].to_numpy()))
-                yield pd.DataFrame({"list": lists, "id": p["id"], "dig": p["dig"], "codes": [c.tobytes() for c in codes]})
-
-    members = stored(found.mapInPandas(indexed, "list int, id long, dig long, codes binary"), "members")
-    sizes = {r["list"]: r["n"] for r in members.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as there are lists
-    size = np.array([sizes.get(i, 0) for i in range(len(model.value.centroids))])
+                x = np.stack(p["x"].to_numpy())
+                lists, codes = model.value.encode(x)
+                away, err = model.value.errors(x, lists, codes)
+                yield pd.DataFrame({"list": lists, "ids": p["ids"], "x": p["x"], "codes": [c.tobytes() for c in codes], "away": away, "err": err})
+
+    members = stored(found.mapInPandas(indexed, "list int, ids array<long>, x array<double>, codes binary, away double, err double"), "members")
+    lists = {r["list"]: r for r in members.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r")).collect()}  # as many as there are lists
+    size, radius = (np.array([lists[i][c] if i in lists else 0 for i in range(len(model.value.centroids))]) for c in ("n", "r"))
     places = cells(size, block)
     where = F.get(F.array(*[F.array(*[F.lit(c) for c in own]) for own in places]), F.col("list"))
-    members = members.withColumn("cell", F.get(where, F.pmod(F.xxhash64("id", "dig"), F.size(where)).cast("int")))
+    members = members.withColumn("cell", F.get(where, F.pmod(F.xxhash64("x"), F.size(where)).cast("int")))
+
+    wanted = rows.where(F.col("id") % query_every == 0)
+    again = wanted.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.col("id").alias("own"))  # their other rows don't count
+    wanted = wanted.join(again, "id", "left").withColumn("own", F.coalesce("own", F.lit(NONE))).withColumn("qdig", F.xxhash64("x", "own"))
+    wanted = stored(wanted, "wanted")
 
-    def probing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The lists that a query probes, by cells; first those that come first and hold several times depth candidates together."""
+    def starting(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The lists that a query scans first: the nearest that hold k candidates, and up to several times depth together."""
+        for p in frames:
+            if len(p):
+                order = np.argsort(-(np.stack(p["q"].to_numpy()) @ model.value.centroids.T), 1, kind="stable")
+                upto = np.cumsum(size[order], 1)
+                few, deep = ((upto <= m).sum(1) + 1 for m in (most, min(10 * model.value.depth, block)))
+                upto = np.minimum(deep, np.maximum(model.value.probes, few))
+                yield p.assign(early=pd.Series([o[:u][size[o[:u]] > 0].tolist() for o, u in zip(order, upto, strict=True)], p.index, object))
+
+    queries = wanted.groupBy("qdig", "own", F.col("x").alias("q")).agg(F.min("id").alias("qid")).select("qid", "qdig", "own", "q")
+    queries = stored(queries.mapInPandas(starting, "qid long, qdig long, own long, q array<double>, early array<int>"), "queries")
+    cols = "cell int, qid long, qdig long, own long, q array<double>, floor double, lists array<int>"
+
+    def by_cells(p: pd.DataFrame, lists: list[np.ndarray]) -> pd.DataFrame:
+        ask = []
+        for i, own in enumerate(lists):
+            by_cell: dict[int, list[int]] = {}
+            for at in own.tolist():
+                for c in places[at]:
+                    by_cell.setdefault(c, []).append(at)
+            ask += [(c, i, ls) for c, ls in by_cell.items()]
+        i = [a[1] for a in ask]
+        return pd.DataFrame({"cell": [a[0] for a in ask], **{c: p[c].to_numpy()[i] for c in ("qid", "qdig", "own", "q", "floor")}, "lists": pd.Series([a[2] for a in ask], dtype=object)})
+
+    def first_asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in frames:
+            yield by_cells(p, list(p["early"]))
+
+    def then_asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The lists that a query hasn't scanned, and that the bound by centroid and radius doesn't exclude."""
+        c = model.value.centroids
+        reach = radius * (1 + 1e-9) + 1e-9 * np.linalg.norm(c, axis=1)
         for p in frames:
             if not len(p):
                 continue
-            q = np.stack(p["x"].to_numpy())
-            order = np.argsort(-(q @ model.value.centroids.T), 1, kind="stable")
-            upto = np.cumsum(size[order], 1)
-            ask = []
-            for i in range(len(p)):
-                few, deep = (int((upto[i] <= m).sum()) + 1 for m in (k, 10 * model.value.depth))  # one more, as the query may be among them
-                probes = max(model.value.probes, few)
-                for first, lists in ((True, order[i, : min(deep, probes)]), (False, order[i, min(deep, probes) : probes])):
-                    by_cell: dict[int, list[int]] = {}
-                    for at in lists[size[lists] > 0].tolist():
-                        for c in places[at]:
-                            by_cell.setdefault(c, []).append(at)
-                    ask += [(c, first, i, ls) for c, ls in by_cell.items()]
-            i = [a[2] for a in ask]
-            yield pd.DataFrame({"cell": [a[0] for a in ask], "first": [a[1] for a in ask], "qid": p["id"].to_numpy()[i], "qdig": p["dig"].to_numpy()[i], "q": p["x"].to_numpy()[i], "lists": [a[3] for a in ask]})
-
-    queries = found.where(F.col("id") % query_every == 0)
-    asked = queries.mapInPandas(probing, "cell int, first boolean, qid long, qdig long, q array<double>, lists array<int>")
+            q = np.stack(p["q"].to_numpy())
+            ask = (size > 0)[None] & ~(q @ c.T + np.linalg.norm(q, axis=1)[:, None] * reach[None] < p["floor"].to_numpy()[:, None])
+            for i, early in enumerate(p["early"]):
+                ask[i, early] = False
+            yield by_cells(p, [np.flatnonzero(a) for a in ask])
 
     def near(key: tuple, q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({**{c: np.zeros(0, np.int64) for c in ("qid", "qdig", "id", "dig")}, "guess": np.zeros(0)})
-        if not len(q) or not len(m):
-            return none
-        m = m.sort_values(["list", "id"], kind="stable")
-        ids, digs = m["id"].to_numpy(), m["dig"].to_numpy()
-        codes = np.frombuffer(b"".join(map(bytes, m["codes"])), np.uint8).reshape(len(m), -1)
-        lists, begin = np.unique(m["list"].to_numpy(), return_index=True)
-        end, depth, ix, got = np.append(begin[1:], len(m)), model.value.depth, model.value, [none]
-        for at in range(0, len(q), 256):
-            part = q.iloc[at : at + 256]
-            qids, qdigs, floor, qx = part["qid"].to_numpy(), part["qdig"].to_numpy(), part["floor"].to_numpy(), np.stack(part["q"].to_numpy())
-            tables = ix.tables(qx)
-            probes, some = np.stack([np.isin(lists, ls) for ls in part["lists"]]), []
-            for j, (lo, hi) in enumerate(zip(begin, end, strict=True)):
-                who = np.flatnonzero(probes[:, j])
-                if who.size:
-                    guess = ix.estimate(qx[who], tables[who], codes[lo:hi], int(lists[j]))
-                    i, x = np.nonzero((guess >= floor[who, None]) & (ids[None, lo:hi] != qids[who, None]))
-                    some.append((who[i], lo + x, guess[i, x]))
-            if some:
-                i, x, guess = map(np.concatenate, zip(*some, strict=True))
-                got.append(best_of(pd.DataFrame({"qid": qids[i], "qdig": qdigs[i], "id": ids[x], "dig": digs[x], "guess": guess}), depth))
+        got = [pd.DataFrame({**{c: np.zeros(0, np.int64) for c in ("qid", "qdig", "id")}, "score": np.zeros(0)})]
+        if len(q) and len(m):
+            mine, q = Members.of(m), q.sort_values(["qid", "qdig"], kind="stable")
+            for at in range(0, len(q), 256):
+                part = q.iloc[at : at + 256]
+                probes = np.stack([np.isin(mine.lists, ls) for ls in part["lists"]])
+                i, ids, score = scan(model.value, np.stack(part["q"].to_numpy()), part["own"].to_numpy(), part["floor"].to_numpy(), probes, mine, most)
+                got.append(pd.DataFrame({"qid": part["qid"].to_numpy()[i], "qdig": part["qdig"].to_numpy()[i], "id": ids, "score": score}))
         return pd.concat(got)
 
     def scanned(asked: DataFrame) -> DataFrame:
-        return asked.groupBy("cell").cogroup(members.groupBy("cell")).applyInPandas(near, "qid long, qdig long, id long, dig long, guess double")
+        return asked.groupBy("cell").cogroup(members.groupBy("cell")).applyInPandas(near, "qid long, qdig long, id long, score double")
 
-    def top(rows: DataFrame) -> DataFrame:
-        best = F.row_number().over(W.partitionBy("qid", "qdig").orderBy(F.desc("guess"), "id", "dig"))
-        return rows.withColumn("n", best).where(F.col("n") <= model.value.depth)
+    def top(hits: DataFrame) -> DataFrame:
+        best = F.row_number().over(W.partitionBy("qid", "qdig").orderBy(F.desc("score"), "id"))
+        return hits.withColumn("n", best).where(F.col("n") <= most)
 
     low = F.lit(float("-inf"))
-    early = stored(top(scanned(asked.where("first").withColumn("floor", low))), "nearest")
-    floor = early.where(F.col("n") == model.value.depth).select(F.col("qid").alias("f_qid"), F.col("qdig").alias("f_qdig"), F.col("guess").alias("floor"))
-    late = asked.where("NOT first").join(floor, (F.col("qid") == F.col("f_qid")) & (F.col("qdig") == F.col("f_qdig")), "left").withColumn("floor", F.coalesce("floor", low)).drop("f_qid", "f_qdig")
-    hits = top(early.drop("n").unionByName(scanned(late)).distinct()).select("qid", "qdig", "id", "dig")
-    exact = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    pairs = hits.join(found, ["id", "dig"]).join(queries.select(F.col("id").alias("qid"), F.col("dig").alias("qdig"), F.col("x").alias("q")), ["qid", "qdig"])
-    scored = pairs.select(F.col("qid").alias("query_id"), "qdig", F.col("id").alias("vec_id"), "dig", exact.alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id", "qdig").orderBy(F.desc("score"), "vec_id", "dig"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    early = stored(top(scanned(queries.withColumn("floor", low).mapInPandas(first_asked, cols))), "nearest")
+    floor = early.where(F.col("n") == most).select("qid", "qdig", F.col("score").alias("floor"))
+    late = queries.join(floor, ["qid", "qdig"], "left").withColumn("floor", F.coalesce("floor", low)).mapInPandas(then_asked, cols)
+    hits = top(early.drop("n").unionByName(scanned(late)))
+    hits = hits.groupBy("qid", "qdig").agg(F.sort_array(F.collect_list(F.struct("n", "id", "score"))).alias("hits"))
+    asked = queries.select("qid", "qdig", "own", F.col("q").alias("x"))
+    answered = wanted.join(asked, ["qdig", "own", "x"]).select(F.col("id").alias("query_id"), "qid", "qdig").join(hits, ["qid", "qdig"])
+    others = F.slice(F.filter("hits", lambda h: h["id"] != F.col("query_id")), 1, k)
+    answered = answered.select("query_id", F.posexplode(others).alias("rank", "h"))
+    return answered.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("h.id").alias("vec_id"), F.col("h.score").alias("score"))
