@@ -1,14 +1,17 @@
-"""Near copies by the Jaccard similarity of their shingles, without loss: a prefix filter, bounds, and exact verification.
+"""Near copies by SimHash fingerprints of their shingles and, without loss, by the Jaccard similarity of the shingles.
+
+Fingerprints of the sets are linked by the generalised pigeonhole principle (simhash.links); whole sets verify these links.
+An exact check follows, as sets at the limit may differ in more bits than the radius: a prefix filter, bounds, verification.
 
 A text is the set of its shingles of ``width`` words (white space separates words, A-Z is lowered; fewer words make one
 shingle), held as 64-bit hashes. All sets are put in one order, with shingles that a sample shows to be frequent last. Of
 two sets whose similarity reaches the limit, each has a shingle of the other among its first n - ceil(limit * n) + 1, so
 texts that share none there need no comparison; the order chosen changes the work only. Pairs that meet must also pass
-bounds on sizes, places and the parity of shingles by bucket, each of which holds for all pairs at the limit. Components of
-what is left (a superset of the links) are brought together, and links are verified there on whole sets.
+bounds on sizes, places and the parity of shingles by bucket, each of which holds for all pairs at the limit; those that pass
+meet once more with parities over twice as many buckets as they have shingles, which leave little but links.
 
 Only distinct sets are compared. A pair that passes is verified by itself, on whole sets, wherever its smaller set is; no
-group has to fit in a task. Of a key that very many sets share, only a forest of what passes in random blocks goes on at
+group has to fit in a task. One pair of each set and the links of fingerprints go first; pairs that these join need no text. Of a key that very many sets share, only a forest of what passes in random blocks goes on at
 first. Once the links found join most of them, the pairs of such keys whose sets are still apart follow, block by block, so
 that no link is lost. How many follow depends on the bounds: many long texts that share a rare passage but are unlike pass
 them as pairs.
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procgraph.llm.common import dropped, mix64, released, stored, utf8
-from procgraph.llm.simhash import components, one_row
+from procgraph.llm.simhash import components, links, one_row, planned
 
 #: Sets under one key beyond which a forest replaces its pairs.
 HEAVY = 64
@@ -72,6 +75,29 @@ def parity(h: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def fingerprint(h: np.ndarray) -> int:
+    """The SimHash of a set of hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """parity() over a power of two of buckets, at least twice as many as there are shingles."""
+    size = 1 << max(6, (2 * len(h) - 1).bit_length()) if len(h) else 64
+    odd = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def differ(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded to the buckets of the other."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n)) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def prefix(h: np.ndarray, limit: Fraction, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The shingles under which a set is filed."""
     n = len(h)
@@ -214,6 +240,30 @@ def apart(frames: Iterator[pd.DataFrame], limit: Fraction) -> Iterator[pd.DataFr
             yield pairs_frame(out)
 
 
+def screen(frames: Iterator[pd.DataFrame], limit: Fraction) -> Iterator[pd.DataFrame]:
+    """a, b: pairs that may be linked by their sizes and sketches."""
+    for f in frames:
+        bits = np.array([differ(x, y) for x, y in zip(f["x"], f["y"], strict=True)], np.int64)
+        yield f.loc[may_link(f["n"].to_numpy(np.int64), f["m"].to_numpy(np.int64), bits, limit), ["a", "b"]]
+
+
+def screened(pairs: DataFrame, sketches: DataFrame, limit: Fraction) -> DataFrame:
+    """The pairs that may be linked. sketches: gid, n, sketch."""
+    a, b = (sketches.select(F.col("gid").alias(g), F.col("n").alias(n), F.col("sketch").alias(x)) for g, n, x in (("a", "n", "x"), ("b", "m", "y")))
+    return pairs.join(a, "a").join(b, "b").mapInPandas(partial(screen, limit=limit), "a long, b long")
+
+
+def alike(sets: DataFrame, radius: int) -> DataFrame:
+    """a, b: sets whose fingerprints are equal or linked within the radius; for each pair of fingerprints one of sets."""
+    prints = settled(sets.select("fp", "gid").distinct(), "prints")
+    lead = settled(prints.groupBy("fp").agg(F.min("gid").alias("lead")), "lead")
+    near = links(lead.select("fp"), planned(lead, radius), radius)
+    for c in ("a", "b"):
+        near = near.join(lead.withColumnRenamed("fp", c), c).withColumn(c, F.col("lead")).drop("lead")
+    same = prints.join(lead, "fp").where("gid <> lead").select(F.col("gid").alias("a"), F.col("lead").alias("b"))
+    return near.select("a", "b").union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def verify(frames: Iterator[pd.DataFrame], limit: Fraction, width: int) -> Iterator[pd.DataFrame]:
     """a, b: pairs that are linked. Rows come sorted by a, part, b; that without b holds the text of a, others that of b."""
     own = None
@@ -246,7 +296,23 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def classes(docs: DataFrame, similarity: str = "0.8", width: int = 5, heavy: int = HEAVY) -> DataFrame:
+def texts_of(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """gid, text of the sets in pairs."""
+    asked = pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct()
+    first = sets.select("gid", "doc_id", "digest").join(asked, "gid").groupBy("gid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("r"))
+    first = first.select("gid", F.col("r.doc_id").alias("r_id"), F.col("r.digest").alias("r_digest"))
+    texts = rows.join(first, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")))
+    return settled(texts.groupBy("gid").agg(F.max("text").alias("text")), "texts")  # repeated rows combine
+
+
+def apart_by(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs whose sets have different labels. label: gid, label; without one a set is its own."""
+    for c in ("a", "b"):
+        pairs = pairs.join(label.select(F.col("gid").alias(c), F.col("label").alias(f"{c}_label")), c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
+    return pairs.where("a_label <> b_label").select("a", "b")
+
+
+def classes(docs: DataFrame, similarity: str = "0.8", width: int = 5, heavy: int = HEAVY, radius: int = 3) -> DataFrame:
     """doc_id, digest (of the text), component of every row of docs."""
     limit = Fraction(similarity)
     frequent, counts = frequent_shingles(docs, width)
@@ -266,12 +332,14 @@ def classes(docs: DataFrame, similarity: str = "0.8", width: int = 5, heavy: int
                     "gid": gid,
                     "n": [len(s) for s in sets],
                     "bits": [parity(s) for s in sets],
+                    "sketch": [sketch(s) if f else None for s, f in zip(sets, fresh, strict=True)],
+                    "fp": np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64),
                     "prefix": [prefix(s if f else s[:0], limit, *order.value).view(np.int64) for s, f in zip(sets, fresh, strict=True)],
                 }
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
-    sets = settled(rows.mapInPandas(file, "doc_id long, digest long, gid long, n int, bits binary, prefix array<long>"), "sets")
+    sets = settled(rows.mapInPandas(file, "doc_id long, digest long, gid long, n int, bits binary, sketch binary, fp long, prefix array<long>"), "sets")
     keys = sets.select("gid", "n", F.posexplode("prefix").alias("pos", "key"))
     several = settled(keys.repartition("key").sortWithinPartitions("key", "gid").mapInPandas(met, "gid long, n int, pos int, key long"), "met")
     bits = sets.select("gid", "bits").join(several.select("gid").distinct(), "gid", "left_semi").groupBy("gid").agg(F.max("bits").alias("bits"))
@@ -285,12 +353,16 @@ def classes(docs: DataFrame, similarity: str = "0.8", width: int = 5, heavy: int
     dealt = near_keys.repartition("key", "block").sortWithinPartitions("key", "block")
     pairs = settled(dealt.mapInPandas(partial(meet, limit=limit), "a long, b long").distinct(), "pairs")
 
-    asked = pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).union(several.join(many, "key", "left_semi").select("gid")).distinct()
-    first = sets.select("gid", "doc_id", "digest").join(asked, "gid").groupBy("gid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("r"))
-    first = first.select("gid", F.col("r.doc_id").alias("r_id"), F.col("r.digest").alias("r_digest"))
-    texts = rows.join(first, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")))
-    texts = settled(texts.groupBy("gid").agg(F.max("text").alias("text")), "texts")  # repeated rows combine
-    label = components(verified(pairs, texts, limit, width)).select(F.col("node").alias("gid"), F.col("root").alias("label"))
+    sketches = sets.groupBy("gid").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    prints = settled(screened(alike(sets, radius), sketches, limit), "alike")
+    likely = settled(screened(pairs, sketches, limit).unionByName(prints).distinct(), "likely")
+    texts = texts_of(likely, sets, rows)
+    start = settled(prints.unionByName(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct(), "start")
+    edges = settled(verified(start, texts, limit, width), "edges")
+    label = components(edges).select(F.col("node").alias("gid"), F.col("root").alias("label"))
+    left = apart_by(likely.join(start, ["a", "b"], "left_anti"), label)
+    edges = edges.unionByName(settled(verified(left, texts, limit, width), "edges"))
+    label = components(edges).select(F.col("node").alias("gid"), F.col("root").alias("label"))
     released(docs.sparkSession)
 
     shared = several.join(many, "key").join(label, "gid", "left").withColumn("label", F.coalesce("label", "gid"))
@@ -299,14 +371,18 @@ def classes(docs: DataFrame, similarity: str = "0.8", width: int = 5, heavy: int
     left = left.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "gid", "n", "pos", "label").join(bits, "gid")
     left = left.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     late = settled(left.mapInPandas(partial(apart, limit=limit), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "late")
-    found = verified(late, texts, limit, width)
-    for c in ("a", "b"):
-        found = found.join(label.withColumnRenamed("gid", c), c, "left").withColumn(c, F.coalesce("label", c)).drop("label")
-    root = components(found).withColumnRenamed("node", "label")
-    for t in (several, pairs, texts, late):
+    late = settled(screened(late, sketches, limit), "late")
+    if late.isEmpty():
+        least = label.withColumnRenamed("label", "least")
+    else:
+        found = verified(late, texts_of(late, sets, rows), limit, width)
+        for c in ("a", "b"):
+            found = found.join(label.withColumnRenamed("gid", c), c, "left").withColumn(c, F.coalesce("label", c)).drop("label")
+        root = components(found).withColumnRenamed("node", "label")
+        least = label.join(root, "label", "full").select(F.coalesce("gid", "label").alias("gid"), F.coalesce("root", "label").alias("least"))
+    for t in (several, pairs, prints, likely, start, texts):
         dropped(t)
     released(docs.sparkSession)
-    least = label.join(root, "label", "full").select(F.coalesce("gid", "label").alias("gid"), F.coalesce("root", "label").alias("least"))
     return sets.select("gid", "doc_id", "digest").join(least, "gid", "left").select("doc_id", "digest", F.coalesce("least", "gid").alias("component"))
 
 

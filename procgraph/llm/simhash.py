@@ -248,16 +248,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def planned(distinct: DataFrame, radius: int, sample_rows: int = 4096) -> Plan:
+    """plan() for distinct fingerprints fp, by a bounded sample of them."""
+    n = distinct.count()
+    share = min(1.0, 1.2 * sample_rows / max(n, 1))
+    sample = [r["fp"] for r in distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < share * (1 << 20)).limit(sample_rows).collect()]  # only to estimate
+    return plan(np.array(sorted(sample), np.int64).view(np.uint64), n, radius)
+
+
 def rooted(docs: DataFrame, radius: int = 3, width: int = 3, sample_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
     """fingerprints() of docs; and fp, least_id, root (the fingerprint that names the component) of each fingerprint."""
-    spark = docs.sparkSession
     prints = stored(fingerprints(docs, width), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    n = distinct.count()
-    share = min(1.0, 1.2 * sample_rows / max(n, 1))
-    sample = [r["fp"] for r in distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < share * (1 << 20)).limit(sample_rows).collect()]  # only to estimate
-    p = plan(np.array(sorted(sample), np.int64).view(np.uint64), n, radius)
-    member = components(links(distinct.select("fp"), p, radius))
+    member = components(links(distinct.select("fp"), planned(distinct, radius, sample_rows), radius))
     return prints, distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
 
 
