@@ -141,12 +141,12 @@ def multikey_order(key_at, places: list[int], n: int) -> tuple[np.ndarray, np.nd
     """The sorted order of n strings and the group of equal strings of each, by multikey quicksort.
 
     key_at(which, place) gives the keys at a place of the strings. After each key only strings that aren't alone are
-    sorted on, within their group.
+    sorted on, within their group, and of those only groups whose next keys differ.
     """
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = key_at(np.arange(n), places[0])
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     begin = groups(first[order])
     group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, n)))
     for place in places[1:]:
@@ -154,7 +154,12 @@ def multikey_order(key_at, places: list[int], n: int) -> tuple[np.ndarray, np.nd
         if not len(several):
             break
         sub, g = order[several], group[several]
-        key = key_at(sub, place)
+        key, start = key_at(sub, place), groups(g)
+        apart = np.minimum.reduceat(key, start) != np.maximum.reduceat(key, start)
+        if not apart.any():
+            continue
+        mixed = np.repeat(apart, np.diff(np.append(start, len(g))))
+        several, sub, g, key = several[mixed], sub[mixed], g[mixed], key[mixed]
         by = np.lexsort((key, g))
         order[several] = sub[by]
         new = np.zeros(n, np.int64)
