@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from procgraph.operators.graph import checkpointed, first_by
@@ -16,6 +17,8 @@ from procgraph.operators.graph import checkpointed, first_by
 OBJECT, LIST = "map<string,variant>", "array<variant>"
 #: Name and ids of the groups that take new processes (fixed values).
 GROUP, MEGA_ID, MAJOR_ID = "미분류", "unclassified", "unclassified_major"
+#: Maps up to which the names of their groups go to every task.
+SMALL = 10_000
 #: Fields of a member's data in a chart, besides id, name and flags (fixed values).
 PROFILE = ("goal", "persona", "endpoint", "description", "skills", "model", "alias", "tools")
 
@@ -24,32 +27,51 @@ def _field(node: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(node, path, kind)
 
 
-def _with(node: Column, key: str, value: Column) -> Column:
-    """An object with a field set; value is a variant."""
-    rest = F.map_filter(_field(node, "$", OBJECT), lambda k, _: k != key)
-    return F.to_variant_object(F.map_concat(rest, F.create_map(F.lit(key), value)))
+def _list(node: Column, key: str) -> Column:
+    return F.coalesce(_field(node, f"$.{key}", LIST), F.expr(f"cast(array() as {LIST})"))
 
 
-def _first_changed(items: Column, wanted: Callable[[Column], Column], new: Column, change: Callable[[Column], Column]) -> Column:
-    """The first wanted item of a list (put at its end if there is none) changed; a variant."""
-    at = F.array_position(F.transform(items, lambda x: F.coalesce(wanted(x), F.lit(False))), F.lit(True))
-    there = F.transform(items, lambda x, i: F.when(i + 1 == at, change(x)).otherwise(x))
-    return F.when(at > 0, there).otherwise(F.concat(items, F.array(change(new)))).cast("variant")
+def _inner(node: Column) -> Column:
+    """The JSON text of an object or list (a variant) without its brackets."""
+    text = F.to_json(node)
+    return F.substring(text, F.lit(2), F.length(text) - 2)
 
 
-def _list(node: Column, key: str) -> Column:
-    return F.coalesce(_field(node, f"$.{key}", LIST), F.expr(f"cast(array() as {LIST})"))
+def _comma(column: str) -> Column:
+    return F.when(F.col(column) == "", "").otherwise(",")
 
 
-def process_maps(maps: DataFrame, fresh: DataFrame) -> DataFrame:
-    """tenant, value: each tenant's map with its new processes in the group for those that nobody has sorted yet.
+def _parts(rows: DataFrame, key: str) -> DataFrame:
+    """tenant, names, head, tail, _items (the list at key of node), _first and _last (text of node's fields before and after key)."""
+    fields = rows.select("tenant", "names", "head", "tail", _field(F.col("node"), "$", OBJECT).alias("_fields"), _list(F.col("node"), key).alias("_items"))
+    some = lambda keep: _inner(F.to_variant_object(F.map_filter("_fields", lambda k, _: keep(k))))
+    return fields.select("tenant", "names", "head", "tail", "_items", some(lambda k: k < key).alias("_first"), some(lambda k: k > key).alias("_last"))
 
-    The group and the one within it are found by id or name and made if missing; a process whose id is in it isn't put in
-    again, of new ones with an id the first by seq counts. A tenant without a map gets one. maps: tenant, value (JSON text, a
-    tenant once). fresh: tenant, id, name, seq; without tenant or id they are left out.
+
+def _opened(rows: DataFrame, key: str, wanted: Callable[[Column], Column], new: Column) -> DataFrame:
+    """The first wanted item of node's list at key (new if there is none): tenant, names (its own comes last), node (variant), head and tail (text around it)."""
+    at = F.array_position(F.transform("_items", wanted), F.lit(True)).cast("int")
+    found = _parts(rows, key).withColumn("_at", at)
+    found = found.withColumn("_at", F.when(F.col("_at") > 0, F.col("_at")).otherwise(F.size("_items") + 1))
+    before = _inner(F.slice("_items", F.lit(1), F.col("_at") - 1).cast("variant"))
+    after = _inner(F.slice("_items", F.col("_at") + 1, F.size("_items")).cast("variant"))
+    cut = found.select("*", F.coalesce(F.get("_items", F.col("_at") - 1), new).alias("node"), before.alias("_before"), after.alias("_after"))
+    head = F.concat("head", F.lit("{"), "_first", _comma("_first"), F.lit(f'"{key}":['), "_before", _comma("_before"))
+    tail = F.concat(_comma("_after"), "_after", F.lit("]"), _comma("_last"), "_last", F.lit("}"), "tail")
+    return cut.select("tenant", F.array_append("names", _field(F.col("node"), "$.name", "string")).alias("names"), "node", head.alias("head"), tail.alias("tail"))
+
+
+def _parsed(value: str, tenant: str) -> Column:
+    """JSON text as a variant, null if it is none; one that is too long for a variant is an error."""
+    lost = F.octet_length(value) >= 1 << 27
+    return F.coalesce(F.try_parse_json(value), F.when(lost, F.raise_error(F.concat(F.lit("map too long: "), F.coalesce(F.col(tenant).cast("string"), F.lit("")))).cast("variant")))
+
+
+def _put_in(maps: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Maps that get new processes (tenant, names of the groups, head, tail: text around the place, size of the group), and those (tenant, id, name, seq).
+
+    Only given maps are variants; ids meet by a join.
     """
-    first = first_by(fresh.where("tenant IS NOT NULL AND id IS NOT NULL"), ["tenant", "id"], "seq", "name")
-    new = first.groupBy("tenant").agg(F.array_sort(F.collect_list(F.struct("seq", "id", F.coalesce("name", F.lit("")).alias("name")))).alias("new"))
 
     def group(key: str, items: str) -> Column:
         return F.parse_json(F.lit(f'{{"id":"{key}","name":"{GROUP}","{items}":[]}}'))
@@ -57,18 +79,60 @@ def process_maps(maps: DataFrame, fresh: DataFrame) -> DataFrame:
     def is_group(key: str) -> Callable[[Column], Column]:
         return lambda x: F.coalesce(_field(x, "$.id", "string") == key, F.lit(False)) | F.coalesce(_field(x, "$.name", "string") == GROUP, F.lit(False))
 
-    def put(major: Column) -> Column:
-        subs = _list(major, "sub_proc_list")
-        ids = F.transform(subs, lambda s: F.coalesce(_field(s, "$.id", "string"), F.lit("")))
-        added = F.filter("new", lambda n: ~F.array_contains(ids, n["id"]))
-        rows = F.transform(added, lambda n: F.to_variant_object(F.struct(n["id"].alias("id"), n["name"].alias("name"), n["id"].alias("path"), F.lit(True).alias("new"))))
-        return _with(major, "sub_proc_list", F.concat(subs, rows).cast("variant"))
-
-    major = lambda mega: _with(mega, "major_proc_list", _first_changed(_list(mega, "major_proc_list"), is_group(MAJOR_ID), group(MAJOR_ID, "sub_proc_list"), put))
+    asked = fresh.where("tenant IS NOT NULL AND id IS NOT NULL").select("tenant", "id", "name", "seq")
+    changed = asked.select("tenant").distinct().join(maps.select("tenant", "value"), "tenant", "left").withColumn("_v", _parsed("value", "tenant"))
     root = F.coalesce(F.when(_field(F.col("_v"), "$", OBJECT).isNotNull(), F.col("_v")), F.parse_json(F.lit("{}")))
-    changed = _with(root, "mega_proc_list", _first_changed(_list(root, "mega_proc_list"), is_group(MEGA_ID), group(MEGA_ID, "major_proc_list"), major))
-    both = maps.select("tenant", "value").join(new, "tenant", "full").withColumn("_v", F.try_parse_json("value"))
-    return both.select("tenant", F.when(F.col("new").isNull(), F.col("value")).otherwise(F.to_json(changed)).alias("value"))
+    roots = changed.select("tenant", F.array().cast("array<string>").alias("names"), root.alias("node"), F.lit("").alias("head"), F.lit("").alias("tail"))
+    megas = _opened(roots, "mega_proc_list", is_group(MEGA_ID), group(MEGA_ID, "major_proc_list"))
+    subs = _parts(_opened(megas, "major_proc_list", is_group(MAJOR_ID), group(MAJOR_ID, "sub_proc_list")), "sub_proc_list")
+    head = F.concat("head", F.lit("{"), "_first", _comma("_first"), F.lit('"sub_proc_list":['), _inner(F.col("_items").cast("variant")))
+    tail = F.concat(F.lit("]"), _comma("_last"), "_last", F.lit("}"), "tail")
+    ids = F.transform("_items", lambda s: _field(s, "$.id", "string"))
+    opened = checkpointed(subs.select("tenant", "names", head.alias("head"), tail.alias("tail"), ids.alias("ids")))
+    there = opened.select("tenant", F.explode("ids").alias("id"))
+    new = first_by(asked, ["tenant", "id"], "seq", "name").join(there, ["tenant", "id"], "left_anti").withColumn("name", F.coalesce("name", F.lit("")))
+    return opened.select("tenant", "names", "head", "tail", F.size("ids").alias("size")), new
+
+
+def process_maps(maps: DataFrame, fresh: DataFrame, piece: int = 4096) -> DataFrame:
+    """tenant, value: each tenant's map with its new processes in the group for those that nobody has sorted yet.
+
+    The group and the one within it are found by id or name and made if missing; a process whose id is in it isn't put in
+    again, of new ones with an id the first by seq counts. A tenant without a map gets one. maps: tenant, value (JSON text, a
+    tenant once). fresh: tenant, id, name, seq; without tenant or id they are left out.
+
+    New processes are text from the start, put together in pieces of so many. A whole map is a row; where rows of processes do,
+    process_map_rows makes none.
+    """
+    opened, new = _put_in(maps, fresh)
+    text = F.to_json(F.struct("id", "name", F.lit(True).alias("new"), F.col("id").alias("path")))
+    placed = new.select("tenant", text.alias("_text"), F.row_number().over(W.partitionBy("tenant").orderBy("seq", "id")).alias("_n"))
+
+    def joined(n: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(n, "_text"))), lambda x: x["_text"]), ",").alias("_text")
+
+    pieces = placed.withColumn("_piece", F.floor(F.col("_n") / piece)).groupBy("tenant", "_piece").agg(joined("_n"))
+    both = maps.select("tenant", "value").join(opened, "tenant", "full").join(pieces.groupBy("tenant").agg(joined("_piece")), "tenant", "left")
+    between = F.when((F.col("size") > 0) & F.col("_text").isNotNull(), ",").otherwise("")
+    return both.select("tenant", F.when(F.col("head").isNull(), F.col("value")).otherwise(F.concat("head", between, F.coalesce("_text", F.lit("")), "tail")).alias("value"))
+
+
+def map_rows(maps: DataFrame) -> DataFrame:
+    """tenant, mega, major, id, name, new of the processes of maps (tenant, value)."""
+    name = lambda c: _field(F.col(c), "$.name", "string")
+    megas = maps.select("tenant", F.explode(_list(_parsed("value", "tenant"), "mega_proc_list")).alias("_a"))
+    majors = megas.select("tenant", name("_a").alias("mega"), F.explode(_list(F.col("_a"), "major_proc_list")).alias("_b"))
+    subs = majors.select("tenant", "mega", name("_b").alias("major"), F.explode(_list(F.col("_b"), "sub_proc_list")).alias("_c"))
+    return subs.select("tenant", "mega", "major", _field(F.col("_c"), "$.id", "string").alias("id"), name("_c").alias("name"), F.coalesce(_field(F.col("_c"), "$.new", "boolean"), F.lit(False)).alias("new"))
+
+
+def process_map_rows(maps: DataFrame, fresh: DataFrame) -> DataFrame:
+    """map_rows(process_maps(maps, fresh)) where no tenant's new processes come together in a row or a task."""
+    opened, new = _put_in(maps, fresh)
+    groups = opened.select("tenant", F.get("names", F.lit(0)).alias("mega"), F.get("names", F.lit(1)).alias("major"))
+    put = new.join(F.broadcast(groups) if groups.limit(SMALL + 1).count() <= SMALL else groups, "tenant")
+    without = maps.select("tenant", "value").join(opened, "tenant", "left").select("tenant", F.coalesce(F.concat("head", "tail"), "value").alias("value"))
+    return map_rows(without).unionByName(put.select("tenant", "mega", "major", "id", "name", F.lit(True).alias("new")))
 
 
 def chart_levels(charts: DataFrame) -> list[DataFrame]:

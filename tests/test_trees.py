@@ -3,6 +3,7 @@
 import copy
 import json
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -58,6 +59,30 @@ def test_process_maps(spark):
     assert {r["tenant"]: json.loads(r["value"]) for r in twice if r["value"]} == want
 
 
+def test_many_processes_in_a_full_group(spark):
+    """Linear in both: before, each new process went through the whole group, and this took minutes."""
+    n = 30_000
+    old = json.dumps({"mega_proc_list": [{"name": "미분류", "major_proc_list": [{"name": "미분류", "sub_proc_list": [{"id": f"p{i}", "name": "old"} for i in range(0, n, 3)]}]}]})
+    fresh = spark.range(n).select(F.lit("a").alias("tenant"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"), F.lit("x").alias("name"), (-F.col("id")).alias("seq"))
+    maps, began = spark.createDataFrame([("a", old)], "tenant string, value string"), time.time()
+    subs = json.loads(trees.process_maps(maps, fresh).collect()[0]["value"])["mega_proc_list"][0]["major_proc_list"][0]["sub_proc_list"]
+    took = time.time() - began
+    assert [s["id"] for s in subs] == [f"p{i}" for i in range(0, n, 3)] + [f"p{i}" for i in range(n - 1, -1, -1) if i % 3]
+    assert trees.process_map_rows(maps, fresh).groupBy("new").count().orderBy("new").collect() == [(False, n // 3), (True, n - n // 3)]
+    assert took < 60
+
+
+def test_rows_of_maps(spark):
+    """Rows made without the text are those of the text; groups keep names of their own; the sizes of pieces don't matter."""
+    maps = spark.createDataFrame([(t, json.dumps(v)) for t, v in MAPS.items()] + [("bad", "{not json"), ("null", None), (None, json.dumps(MAPS["a"]))], "tenant string, value string")
+    fresh = spark.createDataFrame(FRESH + [("a", f"q{i}", f"n{i}", i) for i in range(9)] + [("a", "p1", "all there", 1)], "tenant string, id string, name string, seq int")
+    texts = checkpointed(trees.process_maps(maps, fresh, 2))
+    assert texts.exceptAll(trees.process_maps(maps, fresh)).count() == 0
+    rows = sorted(map(tuple, trees.process_map_rows(maps, fresh).collect()), key=repr)
+    assert rows == sorted(map(tuple, trees.map_rows(texts).collect()), key=repr)
+    assert ("a", "미분류", "else", "q8", "n8", True) in rows and ("d", None, "미분류", "p3", 'ü"', True) in rows and (None, "미분류", "else", "p1", "old", False) in rows
+
+
 def chart(rng, depth, ids):
     node = {"id": rng.choice(ids), "data": {"name": rng.choice(["A", "B"]), "isTeam": rng.random() < 0.5}, "x": rng.choice([None, 1, [2, {"y": "z"}]])}
     if depth and rng.random() < 0.9:
